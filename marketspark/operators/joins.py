@@ -296,16 +296,16 @@ def asof_latest_source(
 
 
 def latest_available_source(
-    df: DataFrame, keys: Sequence[str], published: str, first_usable: str
+    pairs: DataFrame, sources: DataFrame, keys: Sequence[str], date: str, published: str, first_usable: str
 ) -> DataFrame:
-    """Drop candidates for which a newer publication of the same key is usable as early."""
-    usable_sooner = running(
-        df.groupBy(*keys, published).agg(F.min(first_usable).alias("_first")),
+    """Drop (row, source) pairs for which a newer publication of the key is usable by the row's date."""
+    newer = running(
+        sources.groupBy(*keys, published).agg(F.min(first_usable).alias("_first")),
         keys, [published], {"_next": ("min", F.col("_first"))}, reverse=True, exclusive=True,
     ).select(*keys, published, "_next")
     return (
-        df.join(usable_sooner, [*keys, published])
-        .where(F.col("_next").isNull() | (F.col("_next") > F.col(first_usable)))
+        pairs.join(newer, [*keys, published])
+        .where(F.col("_next").isNull() | (F.col("_next") > F.col(date)))
         .drop("_next")
     )
 
