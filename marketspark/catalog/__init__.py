@@ -2,10 +2,13 @@
 
 from importlib import import_module
 
-_MODULES = ("functions", "joins", "aggregates", "windows")
+from marketspark.catalog import registry
+
+_MODULES = ("functions", "joins", "aggregates", "windows", "prices")
 
 
 def load() -> None:
-    """Import every module that registers queries."""
+    """Import every module that registers queries and assemble their SQL checks."""
     for name in _MODULES:
         import_module(f"marketspark.catalog.{name}")
+    registry.finish()

@@ -11,6 +11,7 @@ from marketspark.catalog.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PENDING: list[tuple] = []
 
 
 def _digits(spec: str) -> dict[str, int]:
@@ -43,11 +44,18 @@ def query(name: str, sql: str | None = None, doubles: str = "", ints: str = ""):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            replaced = [
-                f"round({c} + {1.234 * 10.0 ** -(d + 2)!r}, {d}) + 0.0 AS {c}" for c, d in rounding.items()
-            ] + [f"CAST({c} AS BIGINT) AS {c}" for c in integers]
-            star = f"* REPLACE ({', '.join(replaced)})" if replaced else "*"
-            ORACLES[name] = f"SELECT {star} FROM ({with_views(sql)}) AS result"
+            PENDING.append((name, sql, rounding, integers))
         return build
 
     return decorate
+
+
+def finish() -> None:
+    """Assemble the SQL checks once every module has registered its tables."""
+    for name, sql, rounding, integers in PENDING:
+        replaced = [
+            f"round({c} + {1.234 * 10.0 ** -(d + 2)!r}, {d}) + 0.0 AS {c}" for c, d in rounding.items()
+        ] + [f"CAST({c} AS BIGINT) AS {c}" for c in integers]
+        star = f"* REPLACE ({', '.join(replaced)})" if replaced else "*"
+        ORACLES[name] = f"SELECT {star} FROM ({with_views(sql, checks=True)}) AS result"
+    PENDING.clear()

@@ -9,9 +9,12 @@ the other.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketspark.session import stage
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -94,6 +97,28 @@ VIEWS: dict[str, str] = {
         FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
         WHERE l_quantity <= 2
         GROUP BY s_name, CAST(date_trunc('week', l_shipdate) AS DATE)""",
+    # ticker changes: a supplier's code passes to the next supplier of its nation
+    "evidence": """
+        SELECT md5(concat(a.s_name, '|', b.s_name)) AS evidence_id, a.s_name AS from_ticker, b.s_name AS to_ticker,
+               a.s_nationkey AS cik, x.effective_date, a.s_acctbal > 0 AS same_security
+        FROM (SELECT s_suppkey, s_name, s_nationkey, s_acctbal,
+                     lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS next_key FROM supplier) a
+        JOIN supplier b ON b.s_suppkey = a.next_key
+        JOIN (SELECT l_suppkey, CAST(date_trunc('week', min(l_shipdate)) AS DATE) AS effective_date
+              FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7 GROUP BY l_suppkey) x ON x.l_suppkey = a.s_suppkey""",
+    # raw bars under their ticker
+    "raw_bars": """
+        SELECT date, ticker AS act_symbol, open, high, low, close, volume FROM bars""",
+    # outside observations for any ticker and week: from returned rows, under two lookup methods
+    "outside": """
+        SELECT md5(concat(ticker, '|', CAST(date AS VARCHAR(10)), '|', method)) AS observation_id, md5(ticker) AS request_id,
+               'vendor' AS provider, concat(ticker, CASE WHEN volume > 40 THEN '.X' ELSE '.US' END) AS provider_symbol,
+               CAST(0 AS BIGINT) AS lineage_id, 'none' AS lineage_code, ticker AS historical_ticker, method AS lookup_method,
+               CASE WHEN volume < 6 THEN close ELSE close * 0.99 END AS open, CASE WHEN volume < 6 THEN close ELSE close * 1.02 END AS high,
+               CASE WHEN volume < 6 THEN close ELSE close * 0.98 END AS low, close, adjusted_close AS provider_adjusted_close,
+               CASE WHEN volume < 6 THEN 0 ELSE volume END AS provider_volume, date AS session_date, date AS retrieved_at
+        FROM (SELECT *, 'historical_ticker_lookup' AS method FROM vendor_bars WHERE volume > 3
+              UNION ALL SELECT *, 'lineage_latest_ticker_fallback' AS method FROM vendor_bars WHERE volume > 20) v""",
     # purchases and clicks per user and day
     "purchases": """
         SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS value, count(*) AS n
@@ -123,35 +148,40 @@ VIEWS: dict[str, str] = {
         WHERE predicted_probability <= 1""",
 }
 
+# oracle-only tables: plain SQL versions of derived tables, filled by the modules that check them
+CHECKS: dict[str, str] = {}
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
-def _needed(sql: str) -> list[str]:
+def _needed(sql: str, known: dict[str, str]) -> list[str]:
     """Views a text refers to, dependencies first."""
     found: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         words = set(_WORD.findall(text))
-        for name in VIEWS:
-            if name in words and name not in found:
-                visit(VIEWS[name])
-                if name not in found:
-                    found.append(name)
+        for name in known:
+            if name in words and name not in seen:
+                seen.add(name)
+                visit(known[name])
+                found.append(name)
 
     visit(sql)
     return found
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, checks: bool = False) -> str:
     """Prefix a SELECT (or WITH ... SELECT) with the views it uses as common table expressions."""
-    parts = [f"{name} AS ({VIEWS[name]})" for name in _needed(sql)]
+    known = VIEWS | CHECKS if checks else VIEWS
+    parts = [f"{name} AS ({known[name]})" for name in _needed(sql, known)]
     body = sql.strip()
-    recursive = ""
+    recursive = "RECURSIVE " if checks else ""
     if body.upper().startswith("WITH RECURSIVE "):
-        recursive, body = "RECURSIVE ", "WITH " + body[len("WITH RECURSIVE "):]
+        body = "WITH " + body[len("WITH RECURSIVE "):]
     if body.upper().startswith("WITH "):
         return f"WITH {recursive}" + ", ".join([*parts, body[5:]])
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body
 
 
 class Views:
@@ -173,6 +203,12 @@ class Views:
                 raise AttributeError(name)
         return self._known[name]
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Build a derived table once per query and materialise it for its several readers."""
+        if name not in self._known:
+            self._known[name] = stage(build())
+        return self._known[name]
+
     def sql(self, text: str) -> DataFrame:
         """Run a SELECT over base tables and views."""
         full = with_views(text)
