@@ -210,7 +210,7 @@ def _(v):
 
 
 # An earlier state for the reconcile step: every second component is known, and a few share a lineage.
-CHECKS["x_known"] = """SELECT dense_rank() OVER (ORDER BY act_symbol) AS lineage_id, ticker_episode_id, 1 AS sequence_number FROM x_component WHERE n_observations > 200"""
+CHECKS["x_known"] = """SELECT dense_rank() OVER (ORDER BY act_symbol) AS lineage_id, ticker_episode_id, 1 AS sequence_number FROM x_component WHERE n_observations > 60"""
 CHECKS["x_known_master"] = """SELECT lineage_id, min(split_part(ticker_episode_id, '_E', 1)) || '_2' AS lineage_code, min(split_part(ticker_episode_id, '_E', 1)) AS latest_ticker, DATE '1990-01-01' AS first_observed_date, DATE '1990-01-01' AS last_observed_date FROM x_known GROUP BY lineage_id"""
 CHECKS["x_plan"] = """SELECT s.component_root, s.episode_count, l.latest_ticker, s.first_observed_date, s.last_observed_date, k.n AS existing_lineage_count, k.i AS existing_lineage_id, CASE WHEN k.n = 0 THEN 'CREATE_NEW_LINEAGE' WHEN k.n = 1 THEN 'REUSE_EXISTING_LINEAGE' ELSE 'MANUAL_MERGE_REQUIRED' END AS reconciliation_action
     FROM (SELECT component_root, count(*) AS episode_count, min(start_date) AS first_observed_date, max(end_date) AS last_observed_date FROM x_component GROUP BY component_root) s JOIN x_latest l USING (component_root)
@@ -220,7 +220,7 @@ CHECKS["x_plan"] = """SELECT s.component_root, s.episode_count, l.latest_ticker,
 def known(v):
     """Earlier lineages: one per ticker that has a long episode."""
     def build():
-        long = components(v).where("n_observations > 200")
+        long = components(v).where("n_observations > 60")
         ids = assign_ids(None, long.select("act_symbol").distinct(), ["act_symbol"], "lineage_id")
         return long.join(ids, "act_symbol").select("lineage_id", "ticker_episode_id", F.lit(1).cast("long").alias("sequence_number"), "act_symbol")
 
@@ -325,7 +325,7 @@ def _(v):
     return P.reconciled_daily_coverage(master(v), calendar(v), reconciled(v))
 
 
-_BULK = """SELECT date, CASE WHEN security_id >= 0 THEN ticker END AS ticker, replace(ticker, '#', '-') AS provider_code, close * 0.99 AS open, close * 1.02 AS high, CASE WHEN volume > 90 THEN close * 1.5 ELSE close * 0.98 END AS low, CASE WHEN volume < 8 THEN close * 3 ELSE close END AS close, volume FROM vendor_bars"""
+_BULK = """SELECT date, ticker, replace(ticker, '#', '-') AS provider_code, close * 0.99 AS open, close * 1.02 AS high, CASE WHEN volume > 90 THEN close * 1.5 ELSE close * 0.98 END AS low, CASE WHEN volume < 8 THEN close * 3 ELSE close END AS close, volume FROM returned_bars"""
 
 
 @query("tb23_bulk_gap_candidate", f"""WITH provider AS (SELECT *, 0 < low AND low <= least(open, close) AND greatest(open, close) <= high AND volume >= 0 AS bar_valid, count(*) OVER (PARTITION BY date, ticker) AS pn FROM ({_BULK}) b),

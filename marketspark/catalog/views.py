@@ -106,9 +106,26 @@ VIEWS: dict[str, str] = {
         JOIN supplier b ON b.s_suppkey = a.next_key
         JOIN (SELECT l_suppkey, CAST(date_trunc('week', min(l_shipdate)) AS DATE) AS effective_date
               FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7 GROUP BY l_suppkey) x ON x.l_suppkey = a.s_suppkey""",
-    # raw bars under their ticker
-    "raw_bars": """
-        SELECT date, ticker AS act_symbol, open, high, low, close, volume FROM bars""",
+    # raw bars under their ticker, from rows that were not returned
+    "raw_bars": f"""
+        SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, s_name AS act_symbol,
+               round((min(p_retailprice * (1 - l_discount)) + max(p_retailprice * (1 - l_discount))) / 2 + {_TIE}, 4) AS open,
+               round(max(p_retailprice * (1 - l_discount)) + {_TIE}, 4) AS high,
+               round(min(p_retailprice * (1 - l_discount)) + {_TIE}, 4) AS low,
+               round(avg(p_retailprice * (1 - l_discount)) + {_TIE}, 4) AS close,
+               CAST(sum(l_quantity) AS BIGINT) AS volume
+        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+        WHERE l_returnflag <> 'R'
+        GROUP BY s_name, CAST(date_trunc('week', l_shipdate) AS DATE)""",
+    # bars of the returned rows: weeks the raw bars may lack
+    "returned_bars": f"""
+        SELECT s_name AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+               round(avg(p_retailprice * (1 - l_discount)) + {_TIE}, 4) AS close,
+               round(avg(p_retailprice * (1 - l_discount) * (1 - l_tax)) + {_TIE}, 4) AS adjusted_close,
+               CAST(sum(l_quantity) AS BIGINT) AS volume
+        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+        WHERE l_returnflag = 'R'
+        GROUP BY s_name, CAST(date_trunc('week', l_shipdate) AS DATE)""",
     # outside observations for any ticker and week: from returned rows, under two lookup methods
     "outside": """
         SELECT md5(concat(ticker, '|', CAST(date AS VARCHAR(10)), '|', method)) AS observation_id, md5(ticker) AS request_id,
@@ -117,8 +134,51 @@ VIEWS: dict[str, str] = {
                CASE WHEN volume < 6 THEN close ELSE close * 0.99 END AS open, CASE WHEN volume < 6 THEN close ELSE close * 1.02 END AS high,
                CASE WHEN volume < 6 THEN close ELSE close * 0.98 END AS low, close, adjusted_close AS provider_adjusted_close,
                CASE WHEN volume < 6 THEN 0 ELSE volume END AS provider_volume, date AS session_date, date AS retrieved_at
-        FROM (SELECT *, 'historical_ticker_lookup' AS method FROM vendor_bars WHERE volume > 3
-              UNION ALL SELECT *, 'lineage_latest_ticker_fallback' AS method FROM vendor_bars WHERE volume > 20) v""",
+        FROM (SELECT *, 'historical_ticker_lookup' AS method FROM returned_bars WHERE volume > 3
+              UNION ALL SELECT *, 'lineage_latest_ticker_fallback' AS method FROM returned_bars WHERE volume > 20 OR volume <= 3) v""",
+    # one dated episode and one security per ticker
+    "episode_spans": """
+        SELECT concat(s_name, '_E001') AS ticker_episode_id, s_name AS act_symbol, CAST(l_suppkey AS BIGINT) AS security_id,
+               CAST(min(CASE WHEN l_quantity >= 46 AND l_linenumber <= 2 THEN l_shipdate END) AS DATE) AS start_date,
+               CAST(max(CASE WHEN l_quantity >= 46 AND l_linenumber >= 6 THEN l_shipdate END) AS DATE) AS end_date
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_name, l_suppkey""",
+    # bars as a priced series; thin weeks are not eligible
+    "priced": """
+        SELECT security_id, ticker, date, open, high, low, close, volume, 'primary' AS source, ticker AS source_symbol,
+               'native' AS source_lookup_method, volume > 4 AS research_eligible FROM bars""",
+    "symbol_bars": "SELECT ticker AS act_symbol, date, close FROM bars",
+    # resolved provider identities for some split days
+    "symbol_resolutions": """
+        SELECT act_symbol AS ticker, split_date AS relevant_date, CASE WHEN p.to_factor > 2 THEN 'resolved' ELSE 'unresolved' END AS resolution_status,
+               provider_symbol AS resolved_provider_symbol, 'search' AS resolution_method
+        FROM vendor_splits p JOIN episode_spans ON concat(act_symbol, '.US') = provider_symbol WHERE p.to_factor > 1""",
+    # curated events: large dividends, of a kind that follows from their size
+    "override_seed": """
+        SELECT d.act_symbol AS ticker, d.ex_date AS event_date,
+               CASE WHEN amount > 12 THEN 'composite_cash_and_in_kind_distribution' WHEN amount > 11.5 THEN 'stock_dividend' ELSE 'cash_dividend' END AS corporate_action_type,
+               CASE WHEN amount > 10.5 THEN 'pre_split' ELSE 'post_split' END AS dividend_share_basis,
+               CASE WHEN amount > 11 THEN 1.5e0 END AS override_split_ratio, CASE WHEN amount > 10.8 THEN amount / 2 END AS override_dividend_amount,
+               CASE WHEN amount > 11.2 THEN CAST(d.ex_date + INTERVAL '7' DAY AS DATE) END AS override_dividend_ex_date,
+               'issuer' AS resolution_source, 'notice' AS source_reference, 'reviewed' AS resolution_notes
+        FROM dividends d JOIN episode_spans e ON e.act_symbol = d.act_symbol AND d.ex_date BETWEEN e.start_date AND e.end_date
+        WHERE amount > 10""",
+    # checked dividends: what a provider says about large amounts
+    "dividend_validation": """
+        SELECT e.security_id, d.act_symbol AS ticker, d.ex_date AS effective_dividend_ex_date, d.amount AS dividend_previous_share_basis,
+               d.amount / 4 AS vendor_unadjusted, d.amount AS vendor_adjusted,
+               CASE WHEN d.amount > 8 THEN 'retrospective_adjustment_correction' ELSE 'confirmed' END AS validation_status
+        FROM dividends d JOIN episode_spans e ON e.act_symbol = d.act_symbol WHERE d.amount > 7""",
+    # provider requests and price validation rows
+    "validation_requests": """
+        SELECT s_name AS ticker, concat(s_name, '.US') AS provider_symbol, CASE WHEN s_nationkey < 3 THEN 404 WHEN s_nationkey < 5 THEN 500 ELSE 200 END AS status_code,
+               s_suppkey AS response_row_count, CASE WHEN s_nationkey < 5 THEN 'failed' END AS error_text, s_acctbal AS retrieved_at
+        FROM supplier WHERE s_nationkey < 22""",
+    "validation_bars": """
+        SELECT ticker, concat(ticker, '.US') AS provider_symbol, 'vendor' AS provider, date, close * 0.99 AS open, close * 1.01 AS high, close * 0.98 AS low,
+               close * CASE WHEN volume > 60 THEN 3 ELSE 1 END AS close, CASE WHEN volume <= 90 THEN adjusted_close * CASE WHEN volume > 75 THEN 3 ELSE 1 END END AS adjusted_close, volume
+        FROM vendor_bars""",
+    "validation_splits": """
+        SELECT provider_symbol, split_date AS ex_date, to_factor / for_factor AS split_ratio FROM vendor_splits""",
     # purchases and clicks per user and day
     "purchases": """
         SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS value, count(*) AS n
