@@ -25,24 +25,24 @@ def ranked_rows(
     (group, partition) are combined to give each partition its offset.
     """
     spread = stage(
-        df.repartitionByRange(*_named([*by, *order])).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(*_named([*by, *order])).withColumn("_rank_part", F.spark_partition_id())
     )
-    counts = spread.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy(*by, "_rank_part").agg(F.count(F.lit(1)).alias("_rank_n"))
+    earlier = Window.partitionBy(*by).orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = counts.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
-        F.col("_part").alias("_p"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(whole).alias(total),
+        *[F.col(c).alias(f"_rank_k{i}") for i, c in enumerate(by)],
+        F.col("_rank_part").alias("_rank_p"),
+        F.coalesce(F.sum("_rank_n").over(earlier), F.lit(0)).alias("_rank_offset"),
+        F.sum("_rank_n").over(whole).alias("_rank_total"),
     )
-    match = F.col("_part") == F.col("_p")
+    match = F.col("_rank_part") == F.col("_rank_p")
     for i, c in enumerate(by):
-        match = match & spread[c].eqNullSafe(F.col(f"_k{i}"))
-    local = Window.partitionBy(*by, "_part").orderBy(*order)
-    placed = spread.withColumn("_local", F.row_number().over(local)).join(offsets, match)
+        match = match & spread[c].eqNullSafe(F.col(f"_rank_k{i}"))
+    local = Window.partitionBy(*by, "_rank_part").orderBy(*order)
+    placed = spread.withColumn("_rank_local", F.row_number().over(local)).join(offsets, match)
     return placed.select(
-        *df.columns, (F.col("_local") + F.col("_offset")).alias(number), F.col(total)
+        *df.columns, (F.col("_rank_local") + F.col("_rank_offset")).alias(number), F.col("_rank_total").alias(total)
     )
 
 
