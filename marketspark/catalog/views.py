@@ -65,12 +65,82 @@ VIEWS: dict[str, str] = {
         SELECT s_name AS ticker, concat(s_name, '.US') AS provider_symbol,
                CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period_date,
                CAST(max(l_shipdate) AS DATE) AS filing_date,
-               floor(sum(l_extendedprice)) * 10 + 1000 AS shares_outstanding,
+               (10000 + 100 * l_suppkey) * (1 + count(*) / 200e0) * CASE WHEN sum(l_quantity) > 330 THEN 1000 ELSE 1 END AS shares_outstanding,
                CASE WHEN max(l_tax) >= 0.08 THEN 'EUR' ELSE 'USD' END AS currency_symbol,
                max(l_shipdate) AS retrieved_at
         FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
         WHERE l_returnflag = 'R'
-        GROUP BY s_name, CAST(date_trunc('quarter', l_shipdate) AS DATE)""",
+        GROUP BY s_name, l_suppkey, CAST(date_trunc('quarter', l_shipdate) AS DATE)""",
+    # as landed: some periods are filed again on the same day, later in retrieval
+    "landed_filings": """
+        SELECT ticker, provider_symbol, period_date, filing_date, shares_outstanding, currency_symbol, retrieved_at FROM filings
+        UNION ALL SELECT ticker, provider_symbol, period_date, filing_date, shares_outstanding * 2, currency_symbol, CAST(retrieved_at - INTERVAL '1' DAY AS TIMESTAMP) FROM filings WHERE currency_symbol = 'EUR'
+        UNION ALL SELECT ticker, provider_symbol, CAST(period_date - INTERVAL '90' DAY AS DATE), filing_date, shares_outstanding * 3, currency_symbol, retrieved_at FROM filings WHERE currency_symbol = 'USD'
+        UNION ALL SELECT ticker, provider_symbol, CAST(filing_date + INTERVAL '5' DAY AS DATE), filing_date, shares_outstanding, currency_symbol, retrieved_at FROM filings
+        UNION ALL SELECT ticker, provider_symbol, period_date, NULL, shares_outstanding, currency_symbol, retrieved_at FROM filings""",
+    # returns that reference and universe tables start from
+    "research_rows": "SELECT security_id, ticker, date, volume > 4 AS final_research_eligible FROM bars",
+    # a provider's symbol list: exact codes, old codes and some contradictions
+    "reference_symbols": """
+        SELECT upper(s_name) AS code, concat(s_name, '.US') AS provider_symbol,
+               CASE WHEN s_nationkey < 18 THEN 'Common Stock' WHEN s_nationkey < 20 THEN 'ETF' END AS instrument_type,
+               CASE WHEN s_nationkey < 8 THEN 'NYSE' WHEN s_nationkey < 14 THEN 'NASDAQ' ELSE 'OTC' END AS exchange,
+               concat('US', upper(substr(md5(s_name), 1, 9)), '0') AS isin, s_acctbal < 0 AS is_delisted
+        FROM supplier WHERE s_nationkey <> 5
+        UNION ALL SELECT concat(s_name, '_OLD2'), concat(s_name, '.OLD'), 'Common Stock', 'AMEX', concat('US', upper(substr(md5(concat('x', s_name)), 1, 9)), '0'), TRUE
+        FROM supplier WHERE s_nationkey = 5 OR s_acctbal > 5000
+        UNION ALL SELECT s_name, concat(s_name, '.F'), 'FUND', 'NYSE', concat('US', upper(substr(md5(s_name), 1, 9)), '0'), FALSE FROM supplier WHERE s_nationkey = 2""",
+    # a listing file: several dates per symbol, wording by nation
+    "listed_symbols": """
+        SELECT s_name AS act_symbol,
+               concat(s_name, CASE WHEN s_nationkey IN (2, 7) THEN ' common stock' WHEN s_nationkey = 8 THEN ' - warrants' WHEN s_nationkey = 9 THEN ' depositary shares ordinary share' ELSE ' holdings' END) AS security_name,
+               CASE WHEN s_nationkey = 5 THEN 'NYSE MKT' END AS listing_exchange, CASE WHEN s_nationkey = 21 THEN 1 ELSE 0 END AS is_etf,
+               0 AS is_test_issue, DATE '2001-01-01' AS last_seen
+        FROM supplier WHERE s_nationkey <> 11
+        UNION ALL SELECT s_name, concat(s_name, ' preferred stock'), 'OTC', 0, 0, DATE '1999-01-01' FROM supplier""",
+    "manual_types": "SELECT s_name AS ticker, 'FUND' AS instrument_type FROM supplier WHERE s_nationkey = 10",
+    # search results for every supplier name
+    "search_results": """
+        SELECT s_name AS query_ticker, l_linenumber AS result_rank,
+               CASE l_linenumber WHEN 1 THEN concat('Other', s_name, '.US') WHEN 2 THEN replace(concat(s_name, '.US'), '#', '-') WHEN 3 THEN concat(lower(s_name), '.us') ELSE s_name END AS result_code
+        FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem WHERE l_tax >= 0.08 AND l_discount >= 0.095 AND l_quantity > 35) l JOIN supplier ON s_suppkey = l_suppkey""",
+    "issuer_tickers": """
+        SELECT CAST(s_nationkey AS VARCHAR(10)) AS cik, lower(s_name) AS ticker, 'X' AS exchange FROM supplier
+        UNION ALL SELECT NULL, s_name, 'X' FROM supplier""",
+    # dated archive rows of index constituents: shares, and identifiers
+    "archive_shares": """
+        SELECT CAST(date_trunc('month', l_shipdate) + INTERVAL '27' DAY AS DATE) AS observation_date, concat('C', CAST(l_suppkey AS VARCHAR(10))) AS security_code,
+               concat(s_name, CASE WHEN l_tax >= 0.075 THEN ' Inc' ELSE '' END) AS security_name, CAST(s_nationkey AS VARCHAR(10)) AS issuer_code, CAST(l_suppkey AS VARCHAR(10)) AS timeseries_code,
+               (10000e0 + 100 * l_suppkey) * CASE WHEN l_quantity > 44 THEN 1000 ELSE 1 END AS shares_today, (10000e0 + 100 * l_suppkey) * 1.02e0 AS closing_shares
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 AND l_returnflag = 'A'""",
+    "archive_ids": """
+        SELECT CAST(date_trunc('month', l_shipdate) + INTERVAL '27' DAY AS DATE) AS observation_date, concat('C', CAST(l_suppkey AS VARCHAR(10))) AS security_code,
+               CASE WHEN l_quantity > 48 THEN concat('The ', s_name) ELSE upper(s_name) END AS security_name, CAST(CASE WHEN l_discount >= 0.095 THEN 99 ELSE s_nationkey END AS VARCHAR(10)) AS issuer_code,
+               CAST(l_suppkey AS VARCHAR(10)) AS timeseries_code, concat('US', upper(substr(md5(s_name), 1, 9)), '0') AS isin,
+               CASE WHEN l_tax <= 0.005 THEN 'invalid_isin' ELSE 'valid_isin' END AS parse_status, 'USD' AS price_currency,
+               (10000e0 + 100 * l_suppkey) * CASE WHEN l_quantity > 45 THEN 1000 ELSE 1 END AS shares_today,
+               (10000e0 + 100 * l_suppkey) * CASE WHEN l_quantity < 3 THEN 1.5e0 ELSE 1.02e0 END AS closing_shares
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber IN (1, 2) AND l_returnflag <> 'N'""",
+    "archive_caps": """
+        SELECT 'file' AS source_sha256, l_orderkey * 10 + l_linenumber AS source_row_number, CAST(date_trunc('month', l_shipdate) + INTERVAL '27' DAY AS DATE) AS observation_date,
+               concat('US', upper(substr(md5(s_name), 1, 9)), '0') AS isin, (10000e0 + 100 * l_suppkey) * CASE WHEN l_quantity > 40 THEN 1000 ELSE 1 END * 1000 / 1000000 AS mktcap_as_supplied,
+               CASE WHEN l_tax <= 0.005 THEN 'invalid_isin' ELSE 'valid_isin' END AS parse_status
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 3 AND l_returnflag = 'R'""",
+    # split factors of the bars: a jump in discounted weeks
+    "bar_factors": """
+        SELECT security_id, date, daily_split_ratio, exp(sum(ln(daily_split_ratio)) OVER (PARTITION BY security_id ORDER BY date)) AS cumulative_split_multiplier
+        FROM (SELECT security_id, date, CASE WHEN volume > 118 THEN 2e0 ELSE 1e0 END AS daily_split_ratio FROM bars) b""",
+    # sourced counts on some priced days; some reject the filed count in force
+    "manual_shares": """
+        SELECT security_id, ticker, date AS price_date, 12345e0 AS sourced_shares, date AS shares_as_of_date, CAST(date - INTERVAL '3' DAY AS DATE) AS source_publication_date, 'filing' AS source_name, 'D1' AS source_document_id,
+               CASE WHEN volume > 90 THEN concat(ticker, '.US') END AS target_provider_symbol, CAST(NULL AS DATE) AS target_period_date, CAST(NULL AS DATE) AS target_filing_date, CAST(NULL AS DOUBLE) AS target_shares
+        FROM bars WHERE volume > 80
+        UNION ALL SELECT b.security_id, f.ticker, b.date, 1e0, f.filing_date, CAST(b.date - INTERVAL '400' DAY AS DATE), 'review', 'D2', f.provider_symbol, f.period_date, f.filing_date, f.shares_outstanding
+        FROM filings f JOIN bars b ON b.ticker = f.ticker AND b.date = CAST(date_trunc('week', f.filing_date) AS DATE) AND b.volume <= 80 WHERE f.currency_symbol = 'EUR'""",
+    "share_sources": """
+        SELECT l_suppkey AS security_id, s_name AS ticker, CAST(l_shipdate AS DATE) AS publication_date, CAST(l_shipdate + INTERVAL '1' DAY AS DATE) AS first_price_date,
+               CAST(l_shipdate - INTERVAL '3' DAY AS DATE) AS shares_as_of_date, 100e0 + l_suppkey AS sourced_shares, 'cover page' AS source_name, concat('S', CAST(l_orderkey AS VARCHAR(12)), '-', CAST(l_partkey AS VARCHAR(12))) AS source_document_id
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 49 AND l_linenumber = 5""",
     # stated splits: untaxed, undiscounted rows; half of them dated inside the week
     "splits": """
         SELECT s_name AS act_symbol,
