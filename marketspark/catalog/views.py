@@ -129,7 +129,7 @@ VIEWS: dict[str, str] = {
     # split factors of the bars: a jump in discounted weeks
     "bar_factors": """
         SELECT security_id, date, daily_split_ratio, exp(sum(ln(daily_split_ratio)) OVER (PARTITION BY security_id ORDER BY date)) AS cumulative_split_multiplier
-        FROM (SELECT security_id, date, CASE WHEN volume > 118 THEN 2e0 ELSE 1e0 END AS daily_split_ratio FROM bars) b""",
+        FROM (SELECT security_id, date, CASE WHEN volume > 118 THEN 2.5e0 ELSE 1e0 END AS daily_split_ratio FROM bars) b""",
     # sourced counts on some priced days; some reject the filed count in force
     "manual_shares": """
         SELECT security_id, ticker, date AS price_date, 12345e0 AS sourced_shares, date AS shares_as_of_date, CAST(date - INTERVAL '3' DAY AS DATE) AS source_publication_date, 'filing' AS source_name, 'D1' AS source_document_id,
@@ -317,6 +317,8 @@ def with_views(sql: str, checks: bool = False) -> str:
 class Views:
     """Base tables and derived views of one folder as DataFrames, by attribute."""
 
+    kept: dict[tuple, DataFrame] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.folder = spark, sf_dir
         self._known: dict[str, DataFrame] = {}
@@ -334,10 +336,11 @@ class Views:
         return self._known[name]
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Build a derived table once per query and materialise it for its several readers."""
-        if name not in self._known:
-            self._known[name] = stage(build())
-        return self._known[name]
+        """Materialise a derived table once per session and folder for all its readers."""
+        key = (self.spark.sparkContext.applicationId, self.folder, build.__module__, name)
+        if key not in Views.kept:
+            Views.kept[key] = stage(build())
+        return Views.kept[key]
 
     def sql(self, text: str) -> DataFrame:
         """Run a SELECT over base tables and views."""
