@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from marketspark.functions.scalars import status_case
 from marketspark.operators.graph import connected_components
 from marketspark.operators.mutate import assign_ids, upsert
+from marketspark.operators.quality import assert_assigned_once
 from marketspark.operators.ranking import ranked_rows
 from marketspark.operators.selection import best_match, latest_per_key
 from marketspark.operators.sets import union_distinct
 from marketspark.operators.timeline import neighbours, running
+from marketspark.session import stage
 
 
 def ticker_episodes(evidence: DataFrame, clean: DataFrame) -> DataFrame:
@@ -255,3 +257,19 @@ def security_tables(episodes: DataFrame, membership: DataFrame, lineages: DataFr
         "security_id", "ticker_episode_id", F.lit("validated_lineage").alias("membership_method")
     )
     return {"security_master": master, "security_episode_membership": own.unionByName(shared)}
+
+
+def rebuild_identity(evidence: DataFrame, clean: DataFrame) -> dict[str, DataFrame]:
+    """Episodes to securities in one pass, refused when an episode is not owned exactly once (TB-12)."""
+    episodes = stage(ticker_episodes(evidence, clean))
+    transitions = stage(ticker_transitions(evidence, episodes))
+    preview = stage(lineage_preview(lineage_components(transitions, episodes)))
+    lineages = stage(lineage_master(preview))
+    members = stage(lineage_membership(preview, lineages))
+    securities = security_tables(episodes, members, lineages)
+    owners = stage(securities["security_episode_membership"])
+    assert_assigned_once(episodes, owners, "ticker_episode_id")
+    return {
+        "ticker_episode": episodes, "ticker_transition": transitions, "ticker_lineage_master": lineages,
+        "ticker_lineage_membership": members, "security_master": securities["security_master"], "security_episode_membership": owners,
+    }
