@@ -281,6 +281,12 @@ VIEWS: dict[str, str] = {
 # oracle-only tables: plain SQL versions of derived tables, filled by the modules that check them
 CHECKS: dict[str, str] = {}
 
+# views that whole chains of tables start from: materialised once, not re-derived by each step
+SHARED = {
+    "raw_bars", "returned_bars", "symbol_bars", "priced", "filings", "landed_filings", "bar_factors", "research_rows", "panel",
+    "archive_shares", "archive_ids", "archive_caps", "manual_shares", "signals",
+}
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
@@ -329,6 +335,8 @@ class Views:
         if name not in self._known:
             if name in TABLES:
                 self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            elif name in SHARED:
+                self._known[name] = self.keep(name, lambda: self.sql(f"SELECT * FROM {name}"))
             elif name in VIEWS:
                 self._known[name] = self.sql(f"SELECT * FROM {name}")
             else:
