@@ -313,3 +313,27 @@ def _(v):
     CASE WHEN final_research_eligible THEN exp(sum(CASE WHEN final_research_eligible THEN ln(1 + gross_total_return) END) OVER w) END AS gross_total_return_index FROM y_segment WINDOW w AS (PARTITION BY security_id, return_segment_id ORDER BY date)""", doubles="gross_total_return cumulative_gtr_log gross_total_return_index", ints="return_segment_id")
 def _(v):
     return R.total_return_index(research(v))
+
+
+@query("tb80_rebuild", """SELECT 'security_daily_return' AS table_name, count(*) AS rows, count(DISTINCT security_id) AS entities FROM y_return UNION ALL SELECT 'security_gtr_index', count(*), count(DISTINCT security_id) FROM y_research
+    UNION ALL SELECT 'research_feature_label_model', count(*), count(DISTINCT security_id) FROM y_research WHERE final_research_eligible""", ints="rows entities")
+def _(v):
+    import tempfile
+
+    from marketspark.operators.quality import table_counts
+    from marketspark.plans.rebuild import rebuild
+    from marketspark.session import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(v.spark)}/rebuild-{next(tempfile._get_candidate_names())}"
+    prices = v.priced.withColumns({"reconciliation_status": F.lit("native"), "observation_type": F.lit("native")})
+    none = v.validation_bars.limit(0)
+    inputs = {
+        "security_daily_ohlcv": prices, "trading_calendar": v.sessions, "security_split_event": events(v), "corporate_action_override": overrides(v),
+        "security_dividend_candidate": dividend_rows(v), "automatic_dividend_correction": A.dividend_corrections(v.dividend_validation),
+        "automatic_price_correction": none.select(F.lit(0).cast("long").alias("security_id"), F.col("date").alias("correction_date"), "open", "high", "low", "close", "volume", "provider_symbol"),
+        "automatic_split_backfill": none.select(F.lit(0).cast("long").alias("security_id"), F.col("date").alias("split_date"), F.col("close").alias("split_ratio")),
+        "extreme_return_diagnostic": diagnostics(v), "security_master": v.bars.select("security_id").distinct(),
+        "research_universe_eligibility": prices.select("security_id", "date", F.lit(True).alias("primary_research_eligible_broad"), F.lit(True).alias("primary_research_eligible_exchange")),
+    }
+    tables = rebuild(inputs, folder)
+    return table_counts({n: tables[n] for n in ("security_daily_return", "security_gtr_index", "research_feature_label_model")}, "security_id")

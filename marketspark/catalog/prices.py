@@ -358,3 +358,9 @@ def _(v):
     fixes = v.vendor_bars.where("volume > 50").select("security_id", F.col("date").alias("correction_date"), (F.col("close") * 0.99).alias("open"), (F.col("close") * 1.02).alias("high"),
                                                       (F.col("close") * 0.98).alias("low"), "close", "volume", F.concat("ticker", F.lit(".US")).alias("provider_symbol"))
     return P.corrected_ohlcv(prices, fixes)
+
+
+@query("tb12_rebuild_identity", """SELECT security_id, ticker_episode_id, identity_status AS membership_method FROM x_security WHERE ticker_episode_id IS NOT NULL
+    UNION ALL SELECT s.security_id, m.ticker_episode_id, 'validated_lineage' FROM x_security s JOIN x_member m ON m.lineage_id = s.lineage_id""", ints="security_id")
+def _(v):
+    return I.rebuild_identity(v.evidence, clean(v))["security_episode_membership"]

@@ -362,7 +362,7 @@ def _(v):
     SELECT p.ticker, p.date, p.security_id, r.bronze_security_name, p.market_cap_candidate / 1e9 AS cap_usd_bn, 1e4 * p.market_cap_candidate / (SELECT sum(market_cap_candidate) FROM s_guarded g WHERE g.date = p.date AND g.price_research_eligible AND g.market_cap_candidate > 0) AS weight_bps, p.selected_source,
     p.selected_shares_candidate / (SELECT median(selected_shares_candidate) FROM s_guarded g WHERE g.security_id = p.security_id AND g.selected_shares_candidate > 0) AS ratio_to_issue_median FROM p LEFT JOIN s_resolution r ON r.security_id = p.security_id AND r.ticker = p.ticker""", doubles="cap_usd_bn:3 weight_bps:2 ratio_to_issue_median:3")
 def _(v):
-    return S.market_cap_closure(guarded(v), resolution(v)).select("ticker", "date", "security_id", "bronze_security_name", "cap_usd_bn", "weight_bps", "selected_source", "ratio_to_issue_median")
+    return S.market_cap_closure(guarded(v), resolution(v), rounded=False).select("ticker", "date", "security_id", "bronze_security_name", "cap_usd_bn", "weight_bps", "selected_source", "ratio_to_issue_median")
 
 
 @query("tb73_basis_impact", "SELECT vendor_basis_status, count(*) AS issue_days, count(DISTINCT security_id) AS issues, count(*) FILTER (WHERE selected_source = 'vendor') AS selected_vendor_days, max(close * vendor_filed_shares) AS largest_raw_cap FROM s_guarded WHERE vend_ok AND vendor_filed_shares > 0 GROUP BY vendor_basis_status", doubles="largest_raw_cap:0")

@@ -197,25 +197,38 @@ def _listing(v):
     return v.keep("listing", lambda: A.parse_ragged_csv(_csv_files(v)))
 
 
-@query("tb64_isin_profile")
+CHECKS |= {
+    "d_code": "SELECT DISTINCT isin FROM d_csv WHERE isin <> '' AND mktcap_as_supplied IS NOT NULL",
+    "d_digit": "SELECT isin, array_to_string(list_transform(string_split(isin, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '') AS d FROM d_code",
+    "d_place": "SELECT isin, CAST(substr(d, i, 1) AS INT) * CASE WHEN (length(d) - i) % 2 = 1 THEN 2 ELSE 1 END AS x FROM (SELECT isin, d, unnest(range(1, length(d) + 1)) AS i FROM d_digit) p",
+    "d_checked": "SELECT isin, sum(x // 10 + x % 10) % 10 = 0 AS valid FROM d_place GROUP BY isin",
+    "d_valid": "SELECT c.*, raw_company_name AS name FROM d_csv c JOIN d_checked k USING (isin) WHERE k.valid AND c.mktcap_as_supplied IS NOT NULL",
+}
+
+
+@query("tb64_isin_profile", """SELECT isin, min(observation_date) AS first_date, max(observation_date) AS last_date, count(DISTINCT name) AS name_variants, count(*) AS rows, string_agg(DISTINCT name, ' | ' ORDER BY name) AS all_names,
+    (SELECT bool_or(n > 1) FROM (SELECT count(DISTINCT (name, mktcap_as_supplied)) AS n FROM d_valid w WHERE w.isin = v.isin GROUP BY observation_date) x) AS conflicting_duplicate FROM d_valid v GROUP BY isin""", ints="name_variants rows")
 def _(v):
-    return N.isin_profile(_listing(v))
+    return N.isin_profile(_listing(v)).drop("latest_name", "latest_mktcap_as_supplied")  # the latest among equal dates depends on the row number
 
 
-@query("tb64_invalid_isins")
+@query("tb64_invalid_isins", "SELECT isin, count(*) AS rows FROM d_csv JOIN d_checked USING (isin) WHERE NOT valid AND mktcap_as_supplied IS NOT NULL GROUP BY isin", ints="rows")
 def _(v):
     return N.invalid_isins(_listing(v))
 
 
-@query("tb64_duplicate_listings")
+@query("tb64_duplicate_listings", "SELECT * FROM (SELECT observation_date, isin, name, mktcap_as_supplied, count(*) OVER (PARTITION BY observation_date, isin) AS listings FROM d_valid) d WHERE listings > 1", ints="listings", doubles="mktcap_as_supplied:2")
 def _(v):
-    return N.duplicate_listings(_listing(v))
+    return N.duplicate_listings(_listing(v)).drop("source_row_number")
 
 
-@query("tb64_isin_name_comparison")
+@query("tb64_isin_name_comparison", """WITH own AS (SELECT DISTINCT isin, name FROM d_valid), ref AS (SELECT DISTINCT isin, upper(name) || CASE WHEN name LIKE '%Inc' THEN '' ELSE ' INC' END AS name FROM d_valid WHERE observation_date >= DATE '1998-01-01')
+    SELECT o.isin, CASE WHEN NOT EXISTS (SELECT 1 FROM ref r WHERE r.isin = o.isin) THEN 'no_reference_isin' WHEN bool_or(EXISTS (SELECT 1 FROM ref r WHERE r.isin = o.isin AND regexp_replace(upper(r.name), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(o.name), '[^A-Z0-9]', '', 'g'))) THEN 'exact_normalized_alias' ELSE 'name_review' END AS name_status FROM own o GROUP BY o.isin""")
 def _(v):
-    known = _listing(v).where("parse_status = 'valid_isin'").select("isin", F.concat(F.upper("raw_company_name"), F.lit(" Corp")).alias("name"))
-    return N.isin_name_comparison(_listing(v), known)
+    rows = _listing(v).where("parse_status = 'valid_isin' AND observation_date >= DATE '1998-01-01'")
+    name = F.col("raw_company_name")
+    known = rows.select("isin", F.concat(F.upper(name), F.when(name.endswith("Inc"), "").otherwise(" INC")).alias("name"))
+    return N.isin_name_comparison(_listing(v), known).drop("best_name_similarity")
 
 
 def _documents(v):

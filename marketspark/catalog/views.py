@@ -74,7 +74,7 @@ VIEWS: dict[str, str] = {
     # as landed: some periods are filed again on the same day, later in retrieval
     "landed_filings": """
         SELECT ticker, provider_symbol, period_date, filing_date, shares_outstanding, currency_symbol, retrieved_at FROM filings
-        UNION ALL SELECT ticker, provider_symbol, period_date, filing_date, shares_outstanding * 2, currency_symbol, CAST(retrieved_at - INTERVAL '1' DAY AS TIMESTAMP) FROM filings WHERE currency_symbol = 'EUR'
+        UNION ALL SELECT ticker, provider_symbol, period_date, filing_date, shares_outstanding * 2, currency_symbol, retrieved_at - INTERVAL '1' DAY FROM filings WHERE currency_symbol = 'EUR'
         UNION ALL SELECT ticker, provider_symbol, CAST(period_date - INTERVAL '90' DAY AS DATE), filing_date, shares_outstanding * 3, currency_symbol, retrieved_at FROM filings WHERE currency_symbol = 'USD'
         UNION ALL SELECT ticker, provider_symbol, CAST(filing_date + INTERVAL '5' DAY AS DATE), filing_date, shares_outstanding, currency_symbol, retrieved_at FROM filings
         UNION ALL SELECT ticker, provider_symbol, period_date, NULL, shares_outstanding, currency_symbol, retrieved_at FROM filings""",
@@ -129,7 +129,7 @@ VIEWS: dict[str, str] = {
     # split factors of the bars: a jump in discounted weeks
     "bar_factors": """
         SELECT security_id, date, daily_split_ratio, exp(sum(ln(daily_split_ratio)) OVER (PARTITION BY security_id ORDER BY date)) AS cumulative_split_multiplier
-        FROM (SELECT security_id, date, CASE WHEN volume > 118 THEN 2.5e0 ELSE 1e0 END AS daily_split_ratio FROM bars) b""",
+        FROM (SELECT security_id, date, CASE WHEN volume > 140 THEN 2.5e0 ELSE 1e0 END AS daily_split_ratio FROM bars) b""",
     # sourced counts on some priced days; some reject the filed count in force
     "manual_shares": """
         SELECT security_id, ticker, date AS price_date, 12345e0 AS sourced_shares, date AS shares_as_of_date, CAST(date - INTERVAL '3' DAY AS DATE) AS source_publication_date, 'filing' AS source_name, 'D1' AS source_document_id,

@@ -577,8 +577,12 @@ def jump_review(caps: DataFrame, guard: DataFrame, impact: DataFrame) -> DataFra
         "unresolved"))
 
 
-def market_cap_closure(caps: DataFrame, resolution: DataFrame, k: int = 30) -> DataFrame:
+def market_cap_closure(caps: DataFrame, resolution: DataFrame, k: int = 30, rounded: bool = True) -> DataFrame:
     """Largest cap of the k largest securities with its weight and distance from the usual count (TB-72)."""
+
+    def shown(value: Column, digits: int) -> Column:
+        return F.round(value, digits) if rounded else value
+
     rows = caps.where("price_research_eligible AND market_cap_candidate > 0")
     top = top_k(peak_per_key(rows, ["security_id"], "market_cap_candidate", ["date"]),
                 [F.col("market_cap_candidate").desc(), F.col("security_id")], k)
@@ -589,9 +593,9 @@ def market_cap_closure(caps: DataFrame, resolution: DataFrame, k: int = 30) -> D
     names = resolution.select("security_id", "ticker", "bronze_security_name")
     joined = top.join(totals, "date").join(usual, "security_id").join(span, "security_id").join(names, ["security_id", "ticker"], "left")
     return joined.select(
-        "ticker", "date", "security_id", "bronze_security_name", F.round(F.col("market_cap_candidate") / 1e9, 3).alias("cap_usd_bn"),
-        F.round(1e4 * F.col("market_cap_candidate") / F.col("_total"), 2).alias("weight_bps"), "selected_source",
-        "selected_shares_candidate", F.round(safe_div("selected_shares_candidate", "_usual"), 3).alias("ratio_to_issue_median"), "close",
+        "ticker", "date", "security_id", "bronze_security_name", shown(F.col("market_cap_candidate") / 1e9, 3).alias("cap_usd_bn"),
+        shown(1e4 * F.col("market_cap_candidate") / F.col("_total"), 2).alias("weight_bps"), "selected_source",
+        "selected_shares_candidate", shown(safe_div("selected_shares_candidate", "_usual"), 3).alias("ratio_to_issue_median"), "close",
         "vendor_basis_status", "first_selected_date", "last_selected_date")
 
 
