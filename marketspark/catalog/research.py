@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from marketspark.catalog.registry import query
@@ -334,7 +336,14 @@ def _(v):
     return C.threshold_contrast(_oscillator(v), "rsi_14", 5)
 
 
-@query("rsi2_hypotheses")
+# the same chain for the reversed score
+CHECKS["signals_reversed"] = "SELECT * REPLACE (1 - predicted_probability AS predicted_probability) FROM signals"
+CHECKS |= {
+    "e_" + k[2:]: re.sub(r"\bc_", "e_", text).replace("FROM signals", "FROM signals_reversed") for k, text in list(CHECKS.items()) if k.startswith("c_")
+}
+
+
+@query("rsi2_hypotheses", f"{_RUN.format(m='rsi14_continuation')} UNION ALL " + re.sub(r"\bc_", "e_", _RUN.format(m="rsi14_reversal")), **_RUND)
 def _(v):
     return C.directional_hypotheses(_oscillator(v), "rsi_14", 5, "rsi14")
 

@@ -175,9 +175,10 @@ def _(v):
 
 @query("tb52_security_reference_resolution", """SELECT security_id, count(*) AS observed_tickers, count(resolved_instrument_type) AS resolved_tickers, count(*) - count(resolved_instrument_type) AS unresolved_tickers, count(DISTINCT resolved_instrument_type) AS distinct_resolved_types, min(resolved_instrument_type) AS candidate_security_type,
     CASE WHEN count(DISTINCT resolved_instrument_type) = 1 THEN min(resolved_instrument_type) END AS resolved_security_type, CASE WHEN count(DISTINCT resolved_instrument_type) > 1 THEN 'ticker_history_type_conflict' WHEN count(resolved_instrument_type) = 0 THEN 'unresolved' WHEN count(*) = count(resolved_instrument_type) THEN 'resolved_all_tickers_consistent' ELSE 'partially_resolved_consistent' END AS security_reference_status
-    FROM (SELECT security_id % 30 AS security_id, resolved_instrument_type FROM s_resolution) r GROUP BY security_id""", ints="observed_tickers resolved_tickers unresolved_tickers distinct_resolved_types")
+    FROM (SELECT s_nationkey AS security_id, resolved_instrument_type FROM s_resolution JOIN supplier ON s_suppkey = security_id) r GROUP BY security_id""", ints="observed_tickers resolved_tickers unresolved_tickers distinct_resolved_types")
 def _(v):
-    merged = resolution(v).withColumn("security_id", F.col("security_id") % 30)
+    # tickers of one nation as the history of one security
+    merged = resolution(v).join(v.supplier, F.col("s_suppkey") == F.col("security_id")).withColumn("security_id", F.col("s_nationkey"))
     return R.security_reference_resolution(merged)
 
 

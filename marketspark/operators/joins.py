@@ -93,7 +93,7 @@ def provider_pair(
 def asof_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
     columns: dict[str, str], *, max_age_days: int | None = None,
-    tie: Sequence[str] | None = None, slice_days: int = SLICE_DAYS,
+    tie: Sequence[str] | None = None, slice_days: float = SLICE_DAYS,
 ) -> DataFrame:
     """For each left row the latest right row with the same key and ``right_time <= left_time``.
 

@@ -18,10 +18,27 @@ SLICE_DAYS = 180
 _START = Window.unboundedPreceding
 
 
-def time_slice(column: str | Column, days: int = SLICE_DAYS) -> Column:
-    """Number of the slice of ``days`` days that a date or timestamp falls into."""
+def time_slice(column: str | Column, days: float = SLICE_DAYS) -> Column:
+    """Number of the slice of ``days`` days that a date or timestamp falls into.
+
+    Below one day the width is counted in hours, so 1/24 gives hourly slices.
+    """
     col = F.col(column) if isinstance(column, str) else column
-    return F.floor(F.unix_date(col.cast("date")) / F.lit(days))
+    day = F.unix_date(col.cast("date"))
+    if days >= 1:
+        return F.floor(day / F.lit(days))
+    return F.floor((day * 24 + F.hour(col)) / F.lit(days * 24))
+
+
+def suggest_slice_days(df: DataFrame, keys: Sequence[str], time: str, rows_per_slice: int = 2_000_000) -> float:
+    """Slice width that keeps the busiest (key, day) of a table near ``rows_per_slice`` rows.
+
+    One pass of partial counts; only the largest count comes back. Use it for event
+    data, where a hot key may have any number of rows per day.
+    """
+    daily = df.groupBy(*keys, F.col(time).cast("date").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    busiest = daily.agg(F.max("_n")).first()[0] or 1
+    return min(max(rows_per_slice / busiest, 1 / 24), float(SLICE_DAYS))
 
 
 def _sum(values: Column, carried: Column) -> Column:
@@ -44,7 +61,7 @@ def running(
     *,
     reverse: bool = False,
     exclusive: bool = False,
-    slice_days: int = SLICE_DAYS,
+    slice_days: float = SLICE_DAYS,
 ) -> DataFrame:
     """Add running aggregates in ``order`` per key.
 
@@ -81,21 +98,23 @@ def running(
         .orderBy(*direction(order))
         .rowsBetween(_START, -1 if exclusive else 0)
     )
-    carries, results = [], []
+    carries, local, results = [], [], []
     for name, (kind, _) in specs.items():
         partial, carry = F.col(f"_p{values[name]}"), f"_c{values[name]}"
         value = F.col(values[name])
         if kind == "last":
             carries.append(F.last(partial, ignorenulls=True).over(earlier).alias(carry))
-            local = F.last(value, ignorenulls=True).over(inside)
-            results.append(F.coalesce(local, F.col(carry)).alias(name))
+            local.append(F.last(value, ignorenulls=True).over(inside).alias(f"_w{carry}"))
+            results.append(F.coalesce(f"_w{carry}", carry).alias(name))
         else:
             fold, merge = _FOLD[kind]
             carries.append(fold(partial).over(earlier).alias(carry))
-            results.append(merge(fold(value).over(inside), F.col(carry)).alias(name))
+            local.append(fold(value).over(inside).alias(f"_w{carry}"))
+            results.append(merge(F.col(f"_w{carry}"), F.col(carry)).alias(name))
     carried = summary.select(*group, *carries)
     kept = [c for c in columns if c not in specs]
-    return sliced.join(carried, group, "left").select(*kept, *results)
+    windowed = sliced.join(carried, group, "left").select("*", *local)
+    return windowed.select(*kept, *results)
 
 
 def neighbours(
@@ -105,7 +124,7 @@ def neighbours(
     columns: dict[str, str],
     *,
     following: bool = False,
-    slice_days: int = SLICE_DAYS,
+    slice_days: float = SLICE_DAYS,
 ) -> DataFrame:
     """``lag(1)`` (or ``lead(1)``) of several columns; ``columns`` maps output to input."""
     packed = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns.values())])
@@ -123,7 +142,7 @@ def framed(
     order: Sequence[str],
     outputs: dict[str, tuple[Column, int, int]],
     *,
-    slice_days: int = SLICE_DAYS,
+    slice_days: float = SLICE_DAYS,
     block_rows: int | None = None,
 ) -> DataFrame:
     """Aggregates over row frames, e.g. ``{"r14": (F.sum("x"), -13, 0)}``.

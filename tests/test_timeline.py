@@ -81,3 +81,16 @@ def test_shift_fill_and_segments(panel):
 def test_frame_longer_than_block_is_refused(panel):
     with pytest.raises(ValueError):
         T.framed(panel, ["k"], ["d"], {"a": (F.sum("v"), -50, 0)}, block_rows=10)
+
+
+def test_hourly_slices_of_a_busy_day(spark):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.9 else "a", i, rng.randint(0, 86399), rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, s int, x double").select(
+        "k", "i", "x", F.expr("TIMESTAMP_NTZ'2024-03-10 00:00:00' + make_dt_interval(0, 0, 0, s)").alias("t"))
+    width = T.suggest_slice_days(df, ["k"], "t", 30)
+    assert 1 / 24 <= width < 0.2
+    got = T.running(df, ["k"], ["t", "i"], {"n": ("sum", F.lit(1))}, slice_days=width)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")).cast("long"))
+    assert sorted((r.i, r.n) for r in got.collect()) == sorted((r.i, r.n) for r in want.collect())
+    assert T.suggest_slice_days(df.limit(0), ["k"], "t") == T.SLICE_DAYS
