@@ -248,7 +248,7 @@ def test_rebuild_writes_checked_tables(spark, tmp_path):
     inputs = {
         "security_daily_ohlcv": px, "trading_calendar": px.select(F.col("date").alias("session_date")).distinct(), "research_universe_eligibility": universe,
         "automatic_price_correction": none("security_id long, correction_date date, open double, high double, low double, close double, volume long, provider_symbol string"),
-        "security_split_event": spark.createDataFrame([(1, days[5], 2.0)], "security_id long, split_date date, split_ratio double"),
+        "security_split_event": spark.createDataFrame([(1, days[5], 1.5)], "security_id long, split_date date, split_ratio double"),
         "corporate_action_override": none(OVERRIDE), "automatic_split_backfill": none("security_id long, split_date date, split_ratio double"),
         "security_dividend_candidate": none("security_id long, ticker string, ex_date date, amount double, validation_status string"),
         "automatic_dividend_correction": none("security_id long, event_date date, corrected_dividend_amount double"),
@@ -258,7 +258,7 @@ def test_rebuild_writes_checked_tables(spark, tmp_path):
     tables = rebuild(inputs, str(tmp_path))
     assert tables["security_daily_return"].where("research_eligible").count() == 22
     model = {(r.security_id, r.date): r for r in tables["research_feature_label_model"].collect()}
-    assert len(STEPS) == 12 and model[1, days[5]].lag_1d_gtr > 0.9 and model[2, days[1]].target_end_date_5d == days[6]
+    assert len(STEPS) == 12 and model[1, days[5]].lag_1d_gtr > 0.4 and model[2, days[1]].target_end_date_5d == days[6]
     with pytest.raises(QualityError, match="rows moved"):
         rebuild(inputs, str(tmp_path / "again"), previous={"security_daily_return": px.limit(3)})
     with pytest.raises(QualityError, match="orphan"):
