@@ -27,7 +27,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("_m").alias("v")))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) with the least node of each component as its name.
 
     Each round shuffles the edge list a fixed number of times and takes minima that
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")).distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         # every node other than its component's least one holds one edge to a smaller node
         current = stage(_small_star(_large_star(current).distinct()).where(F.col("u") != F.col("v")).distinct())
         mark = current.agg(
@@ -49,8 +49,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.distinct().join(
         current.select(F.col("u").alias("node"), F.col("v").alias("_root")), "node", "left"
     ).select("node", F.coalesce("_root", "node").alias("component"))
