@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketspark.llm import language_id, simhash
+from marketspark.llm import decontamination, language_id, simhash
 from marketspark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,34 @@ def query(name: str, sql: str | None = None):
     return decorate
 
 
+def _sql_words(text: str) -> str:
+    """DuckDB list of the words of ``text`` with A-Z lowered."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"list_filter(string_split_regex(translate({text}, '{upper}', '{upper.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _sql_shingles(words: str, width: int) -> str:
+    return (
+        f"CASE WHEN len({words}) >= {width} THEN list_distinct(list_transform(range(1, len({words}) - {width} + 2),"
+        f" lambda i: array_to_string({words}[i:i + {width - 1}], ' '))) WHEN len({words}) > 0 THEN [array_to_string({words}, ' ')] ELSE [] END"
+    )
+
+
+@query("op3_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_sql_words('text')} AS w FROM benchmark),
+ds AS (SELECT r, doc_id, unnest({_sql_shingles('w', 5)}) AS s FROM d),
+bs AS (SELECT q, item_id, unnest({_sql_shingles('w', 5)}) AS s FROM b),
+n AS (SELECT q, count(*) AS n_item FROM bs GROUP BY q)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / n_item AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (q) GROUP BY r, q, doc_id, item_id, n_item HAVING CAST(count(*) AS DOUBLE) / n_item >= 0.8
+""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of a benchmark item's five-word shingles."""
+    found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "item_id", "n_item", "n_shared", "containment")
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
