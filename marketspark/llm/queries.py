@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontamination, language_id, secret_scan, simhash
+from marketspark.llm import byte_bpe, decontamination, language_id, secret_scan, simhash
 from marketspark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them, as digests."""
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), *byte_bpe.default_table())
