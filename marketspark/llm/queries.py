@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import byte_bpe, decontamination, language_id, secret_scan, simhash
+from marketspark.llm import byte_bpe, decontamination, language_id, quality_rules, secret_scan, simhash
 from marketspark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,54 @@ def _sql_shingles(words: str, width: int) -> str:
     )
 
 
+def _quality_sql() -> str:
+    """The counts, sketches and fences of ``quality_rules`` in DuckDB, written over unnested words."""
+    r = quality_rules
+    rates = {
+        "symbols": "1000 * n_symbols // greatest(n_words, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
+        "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "1000 * word_chars // greatest(n_words, 1)",
+        "capitals": "1000 * n_capitals // greatest(word_chars, 1)",
+    }
+    entries = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {v} AS value FROM c WHERE NOT base_failed" for k, v in rates.items())
+    spread = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in r.SPREADS.items()) + " END"
+    tests = " AND ".join([f"{v} <= max(high) FILTER (rate = '{k}')" for k, v in rates.items()] + [f"{rates[k]} >= max(low) FILTER (rate = '{k}')" for k in r.LOW_SIDE])
+
+    def level(name: str, keys: str) -> str:
+        at = f"{keys}, " if keys else ""
+        return f"""
+{name}_b AS (SELECT {at}rate, bucket, sum(n) AS n FROM sketch GROUP BY {at}rate, bucket),
+{name}_c AS (SELECT {at}rate, bucket, sum(n) OVER (PARTITION BY {at}rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {at}rate) AS rows FROM {name}_b),
+{name}_q AS (SELECT {at}rate, max(rows) AS rows, min(bucket) FILTER (4 * upto >= rows) AS q1, min(bucket) FILTER (4 * upto >= 3 * rows) AS q3 FROM {name}_c GROUP BY {at}rate),
+{name} AS (SELECT *, q1 - {r.REACH} * greatest(q3 - q1, {spread}) AS low, q3 + {r.REACH} * greatest(q3 - q1, {spread}) AS high FROM {name}_q)"""
+
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM t),
+g AS (SELECT r, p, w[p] || chr(10) || w[p + 1] || chr(10) || w[p + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM w)),
+x AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS k FROM g) WHERE k > 1) GROUP BY r),
+s AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(x.n, 0) AS n_repeat_words,
+  len(l) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals FROM t JOIN w USING (r) LEFT JOIN x USING (r)),
+c AS (SELECT *, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
+e AS ({entries}),
+sketch AS (SELECT lang, source, rate, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket, count(*) AS n FROM e GROUP BY ALL),
+{level('by_source', 'lang, source')},{level('by_lang', 'lang')},{level('overall', '')},
+f AS (SELECT a.lang, a.source, a.rate, CASE WHEN a.rows >= {r.MIN_ROWS} THEN a.low WHEN b.rows >= {r.MIN_ROWS} THEN b.low ELSE o.low END AS low,
+  CASE WHEN a.rows >= {r.MIN_ROWS} THEN a.high WHEN b.rows >= {r.MIN_ROWS} THEN b.high ELSE o.high END AS high
+  FROM by_source a JOIN by_lang b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate JOIN overall o ON o.rate = a.rate)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({tests}, false) AS kept
+FROM c LEFT JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
+GROUP BY c.r, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed
+"""
+
+
+@query("op2_quality_rules", _quality_sql())
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether it is kept."""
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op3_decontamination", f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
 b AS (SELECT row_number() OVER () AS q, item_id, {_sql_words('text')} AS w FROM benchmark),
