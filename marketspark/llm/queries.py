@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import byte_bpe, decontamination, language_id, quality_model, quality_rules, secret_scan, simhash
+from marketspark.llm import byte_bpe, decontamination, language_id, quality_model, quality_rules, secret_scan, simhash, warc
 from marketspark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,26 @@ def _sql_shingles(words: str, width: int) -> str:
     )
 
 
+def _base32(hex_digits: str) -> str:
+    """Upper-case base32 of 40 hex digits in DuckDB: every five digits are four symbols."""
+    five = f"CAST('0x' || substr({hex_digits}, 5 * g + 1, 5) AS INTEGER)"
+    symbols = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({five} >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(0, 8), lambda g: {symbols}), '')"
+
+
+@query("op1_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM d)
+SELECT page_id, payload_bytes, {_base32('h')} AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to
+FROM m
+""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def _quality_sql() -> str:
     """The counts, sketches and fences of ``quality_rules`` in DuckDB, written over unnested words."""
     r = quality_rules
