@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import byte_bpe, decontamination, html_extract, language_id, quality_model, quality_rules, secret_scan, simhash, warc
+from marketspark.llm import byte_bpe, decontamination, html_extract, language_id, pii, quality_model, quality_rules, secret_scan, simhash, warc
 from marketspark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+@query("op8_pii_surrogates")
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data. The key of this query is public; real runs pass their own."""
+    return pii.replace_personal_data(table(spark, sf_dir, "documents"), key="public example key")
+
+
 @query("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
