@@ -15,7 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -164,20 +167,27 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids
     return map_batches(source, out, step)
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded again in one pass."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded again in one pass; with the ids if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     source = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     out = T.StructType([
         source.schema.fields[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+        *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []),
     ])
 
     def step(batch):
         encoder, rows = _encoder(shared, pattern), []
         for text in batch.column(1).to_pylist():
             ids = encoder.encode(text or "")
-            rows.append((len(ids), ids_digest(ids), hashlib.sha256(encoder.decode(ids)).hexdigest()))
-        return [batch.column(0), *map(list, zip(*rows))]
+            digests = (len(ids), ids_digest(ids), hashlib.sha256(encoder.decode(ids)).hexdigest())
+            rows.append((*digests, array("i", ids)) if keep_ids else digests)
+        columns = [batch.column(0), *map(list, zip(*rows))]
+        if keep_ids:
+            ends = [0, *accumulate(map(len, columns[4]))]
+            values = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in columns[4]]) if ends[-1] else np.zeros(0, dtype=np.int32)
+            columns[4] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)).cast(pa.list_(pa.int32()))
+        return columns
 
     return map_batches(source, out, step)
 

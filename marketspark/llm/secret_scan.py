@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.text import free_name, map_batches
+from marketspark.llm.text import map_batches
 from marketspark.session import stage
 
 # Fixed patterns.
@@ -186,12 +186,37 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return scanned.select(id_col, number(0), number(1), number(2), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(every).alias("spans"))
 
 
-def without_secrets(docs: DataFrame, rate: float = FDR) -> DataFrame:
-    """The documents without any span; columns stay as they are.
+def redact(text: str | None, cuts: dict[int, int], mark: str = "[SECRET]") -> str | None:
+    """``text`` with every base span and accepted token replaced by ``mark``; overlapping spans become one."""
+    if not text:
+        return text
+    base = base_spans(text)
+    spans = [(a, b) for a, _, b in base] + [(a, b) for a, b, c, s, decoy in tokens(text, base) if not decoy and s <= cuts.get(c, -1)]
+    if not spans:
+        return text
+    out, at = [], 0
+    for start, stop in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
 
-    Thresholds come from a first scan of all texts; the second decides row by row, so no text is shuffled.
+
+def without_secrets(docs: DataFrame, rate: float = FDR, mark: str = "[SECRET]") -> DataFrame:
+    """All documents with their secrets replaced by ``mark``; ``n_chars`` follows where a text changed.
+
+    Thresholds come from a first scan of all texts; the second changes row by row, so no text is shuffled.
     """
-    names = (free_name(docs, "_base_spans"), free_name(docs, "_tested_tokens"))
-    cuts = accepted_steps(scan(docs.select("text"), [], "text", names), names[1], rate)
-    marked = scan(docs, docs.columns, "text", names)
-    return marked.where((F.size(names[0]) == 0) & (F.size(added_spans(F.col(names[1]), cuts)) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cuts = accepted_steps(scan(docs.select("text"), [], "text"), rate=rate)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
+    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def step(batch):
+        columns, texts = list(batch.columns), batch.column(at).to_pylist()
+        columns[at] = [redact(t, cuts, mark) for t in texts]
+        if length is not None:
+            columns[length] = [n if a == b else len(b) for n, a, b in zip(batch.column(length).to_pylist(), texts, columns[at])]
+        return columns
+
+    return map_batches(docs, docs.schema, step)

@@ -24,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.text import LOWER, as_bytes, map_batches, schema_of, shingles
+from marketspark.llm.decontamination import shingle_hashes
+from marketspark.llm.text import LOWER, as_bytes, map_batches, schema_of, shingles, word_lists
 from marketspark.operators.graph import connected_components
-from marketspark.session import stage
+from marketspark.session import bounded_broadcast, stage
 
 BITS = 64
 MAX_RADIUS = 3
@@ -253,3 +254,95 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(by_print, F.col("fp") == F.col("_fp")).select(
         F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "label", "fp"
     )
+
+
+def _normal_key(text: bytes) -> str:
+    """Digest of the lower-cased words in order: equal for texts that differ in case of A-Z and spacing only."""
+    digest = xxhash.xxh3_128()
+    for words in word_lists(text.translate(LOWER)):
+        digest.update(b" ".join(words) + b" ")
+    return digest.hexdigest()
+
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """(label, leader) for labels with several members: the one nearest to the majority of their bits, ties to the smallest id and key."""
+    bit = [F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1).cast("long")) for i in range(BITS)]
+    votes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(b).alias(f"b{i}") for i, b in enumerate(bit)]).where("n > 1")
+    centre = F.lit(0).cast("long")
+    for i in range(BITS):
+        centre = centre.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long")))
+    centred = members.join(votes.select(F.col("label").alias("_label"), centre.alias("centre")), F.col("label") == F.col("_label"))
+    order = F.struct(_distance(F.col("fp"), F.col("centre")).alias("d"), F.col("rep.lost").alias("lost"), F.col("rep.id").alias("id"), F.col("key").alias("key"))
+    return centred.groupBy("label").agg(F.min(order).alias("best")).select("label", F.col("best.key").alias("leader"))
+
+
+def _clusters(members: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFrame:
+    """(key, leader): members whose shingles are at least ``min_jaccard`` alike to a leader of their label.
+
+    Each round compares the members left under a label with its leader, so work grows with
+    the members and never with their pairs; leaders and those alike to them leave, until
+    no label has two members left.
+    """
+    a, b = grams.select(F.col("key").alias("_a"), F.col("grams").alias("grams_a")), grams.select(F.col("key").alias("_b"), F.col("grams").alias("grams_b"))
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    left, found = members, None
+    while True:
+        leaders = stage(_leaders(left))
+        if leaders.isEmpty():
+            return found
+        asked = left.join(leaders, "label").where("key <> leader").join(a, F.col("key") == F.col("_a")).join(b, F.col("leader") == F.col("_b"))
+        alike = (shared >= min_jaccard * (F.size("grams_a") + F.size("grams_b") - shared)) & (F.size("grams_a") > 0)
+        judged = stage(asked.select("key", "leader", "label", "fp", "rep", alike.alias("alike")))
+        merged = judged.where("alike").select("key", "leader")
+        found = merged if found is None else found.unionByName(merged)
+        left = judged.where("NOT alike").select("key", "label", "fp", "rep")
+
+
+def without_near_duplicates(docs: DataFrame, max_distance: int = 8, min_jaccard: float = 0.8, width: int = 5) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; columns stay as they are.
+
+    Candidates are linked by SimHash over the distinct words, which near copies change little,
+    and verified by the Jaccard similarity of their ``width``-word shingles with the most
+    central text of their group. Texts of equal words are one text from the start. Of rows
+    repeated as a whole one stays; a null id counts as the largest.
+    """
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    out = T.StructType(source.schema.fields[:2] + schema_of(("fp", T.LongType()), ("key", T.StringType())).fields)
+
+    def prints(batch):
+        texts = as_bytes(batch.column(2))
+        return [batch.column(0), batch.column(1), [fingerprint(t, 1, True) for t in texts], [_normal_key(t) for t in texts]]
+
+    rows = stage(map_batches(source, out, prints))
+    rep = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "h")).alias("rep")
+    texts = stage(rows.groupBy("key", "fp").agg(rep))
+    labels = stage(linked_prints(texts.select("fp").distinct(), max_distance))
+    labelled = texts.join(labels, "fp")
+    crowded = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("label").alias("_label"))
+    members = stage(labelled.join(crowded, F.col("label") == F.col("_label"), "left_semi"))
+
+    wanted = bounded_broadcast(members.select("key", F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h")))
+    held = source.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("key", "text")
+    gram_rows = schema_of(("key", T.StringType()), ("grams", T.ArrayType(T.LongType())))
+    grams = stage(
+        map_batches(held, gram_rows, lambda b: [b.column(0), [shingle_hashes(t, width).view(np.int64) for t in as_bytes(b.column(1))]]).dropDuplicates(["key"])
+    )
+    clusters = _clusters(members, grams, min_jaccard)
+
+    if clusters is None:
+        kept = texts.select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"))
+    else:
+        group = F.coalesce("leader", "key")
+        kept = texts.join(clusters, "key", "left").groupBy(group.alias("group")).agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"))
+    kept = kept.withColumn("_kept", F.lit(True))
+    counted = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
+    told = counted.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    exceptions = stage(told.where("_kept IS NULL OR n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("_kept").isNull().alias("_gone")))
+
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
+    single = docs.join(bounded_broadcast(exceptions), same, "left_anti")
+    repeated = exceptions.where("NOT _gone")
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(docs.join(bounded_broadcast(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
