@@ -18,11 +18,13 @@ import math
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from marketspark.llm.decontamination import shingle_hashes
 from marketspark.llm.text import LOWER, as_bytes, map_batches, schema_of, shingles, word_lists
@@ -32,6 +34,7 @@ from marketspark.session import bounded_broadcast, stage
 BITS = 64
 MAX_RADIUS = 3
 SAMPLE_ROWS = 2048
+BLOCK = 256  # texts compared with each other in one place
 PROBE_COST, CANDIDATE_COST = 1.0, 0.05  # a probe row is shuffled, a candidate only compared
 
 
@@ -160,8 +163,8 @@ class Allocation:
             left = left - steps[:, i]
         return steps, best[:, need]
 
-    def probes(self, prints: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(partition, value, fingerprint, label) of every signature to look up."""
+    def probes(self, prints: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(partition, value, row of the fingerprint) of every signature to look up."""
         steps, _ = self.choose(prints)
         parts, values, owners = [], [], []
         for i, mask in enumerate(self.masks):
@@ -171,8 +174,7 @@ class Allocation:
                 values.append(((prints[rows] & mask)[:, None] ^ flips[None, :]).ravel())
                 owners.append(np.repeat(rows, len(flips)))
                 parts.append(np.full(len(rows) * len(flips), i, dtype=np.int32))
-        owner = np.concatenate(owners)
-        return np.concatenate(parts), np.concatenate(values).view(np.int64), prints[owner].view(np.int64), labels[owner]
+        return np.concatenate(parts), np.concatenate(values).view(np.int64), np.concatenate(owners)
 
 
 def plan_search(prints: DataFrame, distance: int, sample_rows: int = SAMPLE_ROWS) -> Allocation:
@@ -187,67 +189,71 @@ def plan_search(prints: DataFrame, distance: int, sample_rows: int = SAMPLE_ROWS
     return min(plans, key=lambda p: (p.choose(tried)[1].mean() if len(tried) else 0) + len(p.masks))
 
 
-def _neighbour_links(prints: DataFrame, distance: int) -> DataFrame:
-    """Links between fingerprints next to each other in four rotated sort orders: at most four a fingerprint, however dense a group is."""
+def _neighbour_links(nodes: DataFrame, distance: int, second: int) -> DataFrame:
+    """Links between nodes next to each other in four rotated sort orders: at most four a node, however dense a group is."""
     turned = F.array(*[
-        F.struct(F.lit(k).alias("turn"), (F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", BITS - 16 * k)) if k else F.col("fp")).alias("key"))
+        F.struct(F.lit(k).alias("turn"), (F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", BITS - 16 * k)) if k else F.col("fp")).alias("at"))
         for k in range(4)
     ])
-    ordered = prints.select("fp", F.inline(turned)).repartitionByRange("turn", "key").sortWithinPartitions("turn", "key").select("turn", "fp")
+    ordered = nodes.select("node", "fp", "fp2", F.inline(turned)).repartitionByRange("turn", "at").sortWithinPartitions("turn", "at").select("turn", "node", "fp", "fp2")
 
     def run(batches):
-        last = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        last = [np.zeros(0, dtype=np.int64)] * 4
         for batch in batches:
-            turn, fp = (np.concatenate([a, b.to_numpy()]) for a, b in zip(last, batch.columns))
+            turn, node, fp, fp2 = (np.concatenate([a, b.to_numpy()]) for a, b in zip(last, batch.columns))
             near = (turn[1:] == turn[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= distance)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[:-1][near]), pa.array(fp[1:][near])], names=["a", "b"])
-            last = (turn[-1:], fp[-1:])
+            near &= np.bitwise_count((fp2[1:] ^ fp2[:-1]).view(np.uint64)) <= second
+            yield pa.RecordBatch.from_arrays([pa.array(node[:-1][near]), pa.array(node[1:][near])], names=["a", "b"])
+            last = [x[-1:] for x in (turn, node, fp, fp2)]
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _labelled(prints: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     named = labels.select(F.col("node").alias("_node"), F.col("component").alias("_named"))
-    return prints.join(named, F.col(label) == F.col("_node"), "left").withColumn(label, F.coalesce("_named", label)).drop("_node", "_named")
+    return nodes.join(named, F.col("label") == F.col("_node"), "left").withColumn("label", F.coalesce("_named", "label")).drop("_node", "_named")
 
 
-def linked_prints(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, label): equal labels where a chain of links of at most ``distance`` bits joins distinct fingerprints.
+def linked_nodes(nodes: DataFrame, distance: int, second: int = BITS) -> DataFrame:
+    """(node, fp, fp2, label): equal labels where a chain of links joins nodes.
 
-    Dense groups are first contracted along sorted orders, so the exact search after it
-    returns only pairs that still join two groups and never all pairs within one.
+    Two nodes are linked if ``fp`` differs in at most ``distance`` bits and ``fp2`` in at
+    most ``second``. Dense groups are first contracted along sorted orders, so the exact
+    search after it returns only pairs that still join two groups and never all pairs
+    within one.
     """
-    base = prints.select("fp", F.col("fp").alias("label"))
-    first = connected_components(_neighbour_links(prints, distance), "a", "b")
-    base = stage(_labelled(base, first, "label"))
-    plan = plan_search(prints, distance)
+    first = connected_components(_neighbour_links(nodes, distance, second), "a", "b")
+    base = stage(_labelled(nodes.select("node", "fp", "fp2", F.col("node").alias("label")), first))
+    plan = plan_search(nodes.select("fp").distinct(), distance)
     masks = [_signed(int(m)) for m in plan.masks]
     index = base.select(
-        F.col("fp").alias("b"), F.col("label").alias("label_b"),
+        F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("fp2").alias("fp2_b"), F.col("label").alias("label_b"),
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "value"),
     )
-    probes = schema_of(("part", T.IntegerType()), ("value", T.LongType()), ("a", T.LongType()), ("label_a", T.LongType()))
+    probes = schema_of(("part", T.IntegerType()), *[(c, T.LongType()) for c in ("value", "a", "fp_a", "fp2_a", "label_a")])
 
     def run(batches):
         for batch in batches:
-            fp, label = (c.to_numpy() for c in batch.columns)
-            for start in range(0, len(fp), 1024):
-                found = plan.probes(fp[start:start + 1024].view(np.uint64), label[start:start + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=probes.names)
-
-    asked = base.select("fp", "label").mapInArrow(run, probes)
-    pairs = asked.join(index, ["part", "value"]).where(
-        (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (_distance(F.col("a"), F.col("b")) <= distance)
+            columns = [c.to_numpy() for c in batch.columns]
+            for start in range(0, batch.num_rows, 1024):
+                node, fp, fp2, label = (c[start:start + 1024] for c in columns)
+                part, value, row = plan.probes(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (part, value, node[row], fp[row], fp2[row], label[row])], names=probes.names)
+
+    pairs = base.select("node", "fp", "fp2", "label").mapInArrow(run, probes).join(index, ["part", "value"]).where(
+        (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+        & (_distance(F.col("fp_a"), F.col("fp_b")) <= distance) & (_distance(F.col("fp2_a"), F.col("fp2_b")) <= second)
     )
-    second = connected_components(pairs.select("label_a", "label_b").distinct(), "label_a", "label_b")
-    return _labelled(base, second, "label")
+    joined = connected_components(pairs.select("label_a", "label_b").distinct(), "label_a", "label_b")
+    return _labelled(base, joined)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4, distinct: bool = False) -> DataFrame:
     """(id, fingerprint, component_id) for every row: the smallest id reachable over links of at most ``max_distance`` bits."""
     rows = stage(fingerprints(docs, id_col, text_col, width, distinct))
     prints = stage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    labels = stage(linked_prints(prints.select("fp"), max_distance))
+    nodes = prints.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("fp2"))
+    labels = stage(linked_nodes(nodes, max_distance).select("fp", "label"))
     named = prints.join(labels, "fp")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_print = named.select("fp", "label").join(least, "label").select(F.col("fp").alias("_fp"), "label", "component_id")
@@ -264,61 +270,116 @@ def _normal_key(text: bytes) -> str:
     return digest.hexdigest()
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """(label, leader) for labels with several members: the one nearest to the majority of their bits, ties to the smallest id and key."""
+def _central(members: DataFrame, count: int) -> DataFrame:
+    """(label, key): of every label the ``count`` members nearest to the majority of its bits."""
     bit = [F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1).cast("long")) for i in range(BITS)]
-    votes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(b).alias(f"b{i}") for i, b in enumerate(bit)]).where("n > 1")
+    votes = members.groupBy("label").agg(F.count(F.lit(1)).alias("votes"), *[F.sum(b).alias(f"b{i}") for i, b in enumerate(bit)])
     centre = F.lit(0).cast("long")
     for i in range(BITS):
-        centre = centre.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long")))
+        centre = centre.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("votes"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long")))
     centred = members.join(votes.select(F.col("label").alias("_label"), centre.alias("centre")), F.col("label") == F.col("_label"))
-    order = F.struct(_distance(F.col("fp"), F.col("centre")).alias("d"), F.col("rep.lost").alias("lost"), F.col("rep.id").alias("id"), F.col("key").alias("key"))
-    return centred.groupBy("label").agg(F.min(order).alias("best")).select("label", F.col("best.key").alias("leader"))
+    nearest = W.partitionBy("label").orderBy(_distance(F.col("fp"), F.col("centre")), "key")
+    return centred.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= count).select("label", "key")
 
 
-def _clusters(members: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFrame:
-    """(key, leader): members whose shingles are at least ``min_jaccard`` alike to a leader of their label.
+def _spanning_links(asked: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFrame:
+    """(a, b): links that join all members of each (label, job) between which chains of alike texts run.
 
-    Each round compares the members left under a label with its leader, so work grows with
-    the members and never with their pairs; leaders and those alike to them leave, until
-    no label has two members left.
+    ``asked`` holds (label, job, key, asks): texts that ask are compared with all texts of
+    their job. A job holds a bounded number of texts, and a text is not compared with a
+    cluster that it already belongs to.
     """
-    a, b = grams.select(F.col("key").alias("_a"), F.col("grams").alias("grams_a")), grams.select(F.col("key").alias("_b"), F.col("grams").alias("grams_b"))
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    left, found = members, None
-    while True:
-        leaders = stage(_leaders(left))
-        if leaders.isEmpty():
-            return found
-        asked = left.join(leaders, "label").where("key <> leader").join(a, F.col("key") == F.col("_a")).join(b, F.col("leader") == F.col("_b"))
-        alike = (shared >= min_jaccard * (F.size("grams_a") + F.size("grams_b") - shared)) & (F.size("grams_a") > 0)
-        judged = stage(asked.select("key", "leader", "label", "fp", "rep", alike.alias("alike")))
-        merged = judged.where("alike").select("key", "leader")
-        found = merged if found is None else found.unionByName(merged)
-        left = judged.where("NOT alike").select("key", "label", "fp", "rep")
-
-
-def without_near_duplicates(docs: DataFrame, max_distance: int = 8, min_jaccard: float = 0.8, width: int = 5) -> DataFrame:
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["asks", "key"], ascending=[False, True]).drop_duplicates("key")
+        keys, asks, sets = list(rows["key"]), list(rows["asks"]), [np.asarray(g) for g in rows["grams"]]
+        home, links = list(range(len(keys))), []
+
+        def root(k):
+            while home[k] != k:
+                home[k] = home[home[k]]
+                k = home[k]
+            return k
+
+        for i in range(1, len(keys)):
+            for j in range(i):
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if not (asks[i] or asks[j]) or small == 0 or small < min_jaccard * large or root(i) == root(j):
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= min_jaccard * (small + large - both):
+                    links.append((keys[i], keys[j]))
+                    home[root(i)] = root(j)
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    held = asked.join(grams.select(F.col("key").alias("_key"), "grams"), F.col("key") == F.col("_key")).select("label", "job", "key", "asks", "grams")
+    return held.groupBy("label", "job").applyInPandas(compare, "a string, b string")
+
+
+def _alike(members: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFrame:
+    """(node, component) of the members of labels that are joined by chains of alike texts.
+
+    First every block of a label meets the label's most central texts, which joins nearly
+    all of a dense group at once and all of a small one. Only texts of labels of several
+    blocks that this leaves outside their label's largest cluster then meet every block;
+    two texts of one cluster need no comparison.
+    """
+    sizes = members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes.select(F.col("label").alias("_label"), "blocks"), F.col("label") == F.col("_label")).select(
+        "label", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    )
+    placed = stage(placed)
+    central = _central(members, BLOCK).join(sizes, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<string>")).alias("job"), "key", F.lit(True).alias("asks"))
+    asked = placed.select("label", F.col("block").cast("string").alias("job"), "key", F.lit(False).alias("asks")).unionByName(central)
+    links = stage(_spanning_links(asked, grams, min_jaccard))
+    clusters = stage(connected_components(links, "a", "b"))
+
+    large = placed.where("blocks > 1").join(clusters.select(F.col("node").alias("_key"), "component"), F.col("key") == F.col("_key"), "left").withColumn(
+        "component", F.coalesce("component", "key")
+    )
+    weights = large.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = weights.groupBy("label").agg(F.max_by("component", F.struct("n", "component")).alias("largest")).select(F.col("label").alias("_in"), "largest")
+    outside = stage(large.join(largest, F.col("label") == F.col("_in")).where("component <> largest").select("label", "key", "blocks", "block"))
+    if outside.isEmpty():
+        return clusters
+    slices = outside.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slices"))
+    one = outside.join(slices, "label").select(
+        "label", F.pmod(F.xxhash64("key"), F.col("slices").cast("long")).alias("slice"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), "key", F.lit(True).alias("asks")
+    )
+    other = placed.join(slices, "label").select(
+        "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)).alias("slice"), F.col("block").alias("at"), "key", F.lit(False).alias("asks")
+    )
+    asked = one.unionByName(other).select("label", F.concat_ws("/", "slice", "at").alias("job"), "key", "asks")
+    return connected_components(links.unionByName(_spanning_links(asked, grams, min_jaccard)), "a", "b")
+
+
+def without_near_duplicates(
+    docs: DataFrame, max_distance: int = 8, max_second: int = 16, min_jaccard: float = 0.8, width: int = 5
+) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; columns stay as they are.
 
-    Candidates are linked by SimHash over the distinct words, which near copies change little,
-    and verified by the Jaccard similarity of their ``width``-word shingles with the most
-    central text of their group. Texts of equal words are one text from the start. Of rows
-    repeated as a whole one stays; a null id counts as the largest.
+    Candidates are linked by SimHash over the distinct words, which near copies change
+    little, and by a second one over ``width``-word shingles, which unrelated texts never
+    share. They are verified by the Jaccard similarity of their ``width``-word shingles.
+    Texts of equal words are one text from the start. Of rows repeated as a whole one
+    stays; a null id counts as the largest.
     """
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    out = T.StructType(source.schema.fields[:2] + schema_of(("fp", T.LongType()), ("key", T.StringType())).fields)
+    out = T.StructType(source.schema.fields[:2] + schema_of(("fp", T.LongType()), ("fp2", T.LongType()), ("key", T.StringType())).fields)
 
     def prints(batch):
         texts = as_bytes(batch.column(2))
-        return [batch.column(0), batch.column(1), [fingerprint(t, 1, True) for t in texts], [_normal_key(t) for t in texts]]
+        return [
+            batch.column(0), batch.column(1), [fingerprint(t, 1, True) for t in texts], [fingerprint(t, width, False) for t in texts], [_normal_key(t) for t in texts]
+        ]
 
     rows = stage(map_batches(source, out, prints))
     rep = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "h")).alias("rep")
-    texts = stage(rows.groupBy("key", "fp").agg(rep))
-    labels = stage(linked_prints(texts.select("fp").distinct(), max_distance))
-    labelled = texts.join(labels, "fp")
+    texts = stage(rows.groupBy("key", "fp", "fp2").agg(rep))
+    nodes = stage(texts.select(F.xxhash64("fp", "fp2").alias("node"), "fp", "fp2").distinct())
+    labels = stage(linked_nodes(nodes, max_distance, max_second).select("node", "label"))
+    labelled = texts.join(labels, F.xxhash64("fp", "fp2") == F.col("node")).select("key", "fp", "rep", "label")
     crowded = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("label").alias("_label"))
     members = stage(labelled.join(crowded, F.col("label") == F.col("_label"), "left_semi"))
 
@@ -328,14 +389,9 @@ def without_near_duplicates(docs: DataFrame, max_distance: int = 8, min_jaccard:
     grams = stage(
         map_batches(held, gram_rows, lambda b: [b.column(0), [shingle_hashes(t, width).view(np.int64) for t in as_bytes(b.column(1))]]).dropDuplicates(["key"])
     )
-    clusters = _clusters(members, grams, min_jaccard)
-
-    if clusters is None:
-        kept = texts.select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"))
-    else:
-        group = F.coalesce("leader", "key")
-        kept = texts.join(clusters, "key", "left").groupBy(group.alias("group")).agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"))
-    kept = kept.withColumn("_kept", F.lit(True))
+    clusters = _alike(members, grams, min_jaccard).select(F.col("node").alias("_node"), "component")
+    grouped = texts.join(clusters, F.col("key") == F.col("_node"), "left").groupBy(F.coalesce("component", "key").alias("group")).agg(F.min("rep").alias("rep"))
+    kept = grouped.select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"), F.lit(True).alias("_kept"))
     counted = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
     told = counted.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     exceptions = stage(told.where("_kept IS NULL OR n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("_kept").isNull().alias("_gone")))
