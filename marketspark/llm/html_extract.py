@@ -255,8 +255,12 @@ def _saturate(room, source, sink) -> set[int]:
 
 def extract(html: str | None) -> str:
     """Main text of one page, its blocks joined by newlines."""
+    html = html or ""
+    comment = html.rfind("<!--")
+    if comment >= 0 and "-->" not in html[comment:]:
+        html = html[:comment]  # an open comment runs to the end of the page
     parser = _Blocks()
-    parser.feed(html or "")
+    parser.feed(html)
     parser.close()
     found = [(b, t) for b in parser.blocks if (t := " ".join("".join(b.parts).split()))]
     edges, last = [], {}

@@ -132,12 +132,12 @@ def thresholds(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     by_source, by_lang, overall = fences(fine, ["lang", "source"]), fences(merged(fine, ["lang"]), ["lang"]), fences(merged(fine, []), [])
     sides = [f"{side}_{r}" for r in SPREADS for side in ("low", "high")]
     by_lang = by_lang.select(F.col("lang").alias("_lang"), F.struct("rows", *sides).alias("_by_lang"))
-    overall = overall.select(F.lit(1).alias("_all"), F.struct(*sides).alias("_overall"))
-    joined = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(overall, F.lit(1) == F.col("_all"))
+    corpus = overall.first() or dict.fromkeys(sides)  # one row of limits
+    joined = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")))
     return joined.select(
         "lang", "source",
         *[
-            F.when(F.col("rows") >= min_rows, F.col(s)).when(F.col("_by_lang.rows") >= min_rows, F.col(f"_by_lang.{s}")).otherwise(F.col(f"_overall.{s}")).alias(s)
+            F.when(F.col("rows") >= min_rows, F.col(s)).when(F.col("_by_lang.rows") >= min_rows, F.col(f"_by_lang.{s}")).otherwise(F.lit(corpus[s])).alias(s)
             for s in sides
         ],
     )
