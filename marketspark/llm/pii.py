@@ -37,9 +37,11 @@ PATTERNS = {
     "card": r"(?<![\d+])(?:\d{4}(?:[ -]?\d{4}){3}|\d{13,19})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "person": r"(?<!\p{L})(?:" + "|".join(ADDRESS.values()) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "person": r"(?=[MHSLDPгκ])(?<!\p{L})(?:" + "|".join(ADDRESS.values()) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every match holds; tells cheaply that a text has nothing to find.
+HINT = "[0-9@]|" + PATTERNS["person"]
 #: Syllables of made-up names, and the endings of given names by gender.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ka ke la le lo ma me mi mo na ne no pa pe ra re ro sa se ta te va".split(),
@@ -192,7 +194,7 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     """(id, n_entities, text) of every row, with all personal data replaced."""
     text = F.col(text_col).cast("string")
     found = docs.select(
-        F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")).alias("mentions")
+        F.col(id_col).alias("id"), text.alias("text"), F.when(F.rlike(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("mentions")
     )
     some = found.where(F.size("mentions") > 0)
     joined_by = F.coalesce(F.col("id").cast("string"), F.sha2("text", 256))
