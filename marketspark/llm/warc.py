@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketspark.llm.text import as_bytes, map_batches, schema_of
-from marketspark.session import ensure_checkpoint_dir
+from marketspark.session import bounded_broadcast, ensure_checkpoint_dir, stage
 
 # Fixed values of the two formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -85,11 +85,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")
     )
-    # only the narrow (digest, id) side is grouped; ids come back by id, of which none is hot
+    # only the narrow (digest, id) side is grouped; ids come back by id, of which none is hot, and payloads move only if the revisits are many
     keyed = rows.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= min_revisit)
     first = keyed.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = keyed.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
-    told = rows.join(later, F.col("id").eqNullSafe(F.col("_id")) & (F.sha1("payload") == F.col("_digest")), "left").select("id", "uri", "payload", "first")
+    told = rows.join(bounded_broadcast(stage(later)), F.col("id").eqNullSafe(F.col("_id")) & (F.sha1("payload") == F.col("_digest")), "left").select("id", "uri", "payload", "first")
 
     def step(batch):
         ids, uris, firsts = (batch.column(k).to_pylist() for k in (0, 1, 3))
