@@ -185,10 +185,13 @@ def latest_within(
 def next_within(
     left: DataFrame, right: DataFrame, key: Sequence[str], left_time: str, right_time: str, days: int, out: str
 ) -> DataFrame:
-    """Smallest right time within ``days`` days on or after the left time."""
+    """Smallest right time within ``days`` days on or after the left time; left rows without one are dropped.
+
+    Looked up once per distinct key and time and joined back, so equal left rows all stay.
+    """
     slim = right.select(*key, right_time).distinct()
-    pairs = band_join(left, slim, key, left_time, right_time, 0, days)
-    return pairs.groupBy(*left.columns).agg(F.min(right_time).alias(out))
+    pairs = band_join(left.select(*key, left_time).distinct(), slim, key, left_time, right_time, 0, days)
+    return left.join(pairs.groupBy(*key, left_time).agg(F.min(right_time).alias(out)), [*key, left_time]).select(*left.columns, out)
 
 
 def nearest_join(

@@ -12,16 +12,24 @@ from pyspark.sql import types as T
 from marketspark.operators.ranking import ranked_rows
 
 
-def append_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Insert or ignore: existing rows plus incoming rows with an unseen key, one per key (MUT-1)."""
-    fresh = incoming.dropDuplicates(list(key)).join(existing.select(*key).distinct(), list(key), "left_anti")
+def one_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str] | None = None, last: bool = True) -> DataFrame:
+    """The last (or first) row of every key in ``order``, by default of all columns; combined before the shuffle."""
+    pick = F.max_by if last else F.min_by
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*key).agg(pick(whole, F.struct(*(order or df.columns))).alias("_row")).select("_row.*")
+
+
+def append_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """Insert or ignore: existing rows plus the first incoming row of every unseen key (MUT-1)."""
+    fresh = one_per_key(incoming, key, order, last=False).join(existing.select(*key).distinct(), list(key), "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Insert or replace by key (MUT-2)."""
-    kept = existing.join(incoming.select(*key).distinct(), list(key), "left_anti")
-    return kept.unionByName(incoming, allowMissingColumns=True)
+def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """Insert or replace by key (MUT-2); of repeated incoming keys the last row in ``order`` wins."""
+    latest = one_per_key(incoming, key, order)
+    kept = existing.join(latest.select(*key), list(key), "left_anti")
+    return kept.unionByName(latest, allowMissingColumns=True)
 
 
 def replace_keys(existing: DataFrame, incoming: DataFrame, key: Sequence[str], keys: DataFrame | None = None) -> DataFrame:

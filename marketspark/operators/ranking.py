@@ -46,25 +46,55 @@ def ranked_rows(
     )
 
 
+def value_places(
+    df: DataFrame, by: Sequence[str], column: str, extra: Sequence[Column] = (), first: str = "first_place", last: str = "last_place", total: str = "group_rows",
+) -> DataFrame:
+    """The distinct values of a column per group with the row numbers they take, nulls last.
+
+    Equal values are counted before the shuffle, so a value that all rows share is one
+    row here; only distinct values are sorted, and those split over any number of
+    partitions. ``extra`` are more aggregates per value.
+    """
+    order = F.col(column).asc_nulls_last()
+    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_place_n"), *extra)
+    spread = stage(counts.repartitionByRange(*_named(by), order).withColumn("_place_part", F.spark_partition_id()))
+    sums = spread.groupBy(*by, "_place_part").agg(F.sum("_place_n").alias("_place_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_place_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(c).alias(f"_place_k{i}") for i, c in enumerate(by)], F.col("_place_part").alias("_place_p"),
+        F.coalesce(F.sum("_place_sum").over(earlier), F.lit(0)).alias("_place_offset"), F.sum("_place_sum").over(Window.partitionBy(*by)).alias(total),
+    )
+    match = F.col("_place_part") == F.col("_place_p")
+    for i, c in enumerate(by):
+        match = match & spread[c].eqNullSafe(F.col(f"_place_k{i}"))
+    local = Window.partitionBy(*by, "_place_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_place_local") + F.col("_place_offset")
+    placed = spread.withColumn("_place_local", F.sum("_place_n").over(local)).join(offsets, match)
+    kept = [c for c in counts.columns if c != "_place_n"]
+    return placed.select(*kept, (upto - F.col("_place_n") + 1).alias(first), upto.alias(last), F.col(total))
+
+
+def _with_places(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """Every row next to the places of its value; null values and null groups find theirs."""
+    keys = [*by, column]
+    places = value_places(df, by, column, first="_first", last="_last", total="_rows")
+    places = places.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_first", "_last", "_rows")
+    match = F.lit(True)
+    for i, c in enumerate(keys):
+        match = match & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(places, match).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def average_ranks(df: DataFrame, by: Sequence[str], column: str, out: str) -> DataFrame:
-    """Rank with ties sharing their mean rank: the mean row number of equal values."""
-    numbered = ranked_rows(df, by, [column], "_rn", "_rows")
-    ties = numbered.groupBy(*by, column).agg(F.avg("_rn").alias(out))
-    return numbered.drop("_rn", "_rows").join(ties, [*by, column])
+    """Rank with ties sharing their mean rank; every row is kept, null values rank last."""
+    rank = (F.col("_first") + F.col("_last")) / 2
+    return _with_places(df, by, column).withColumn(out, rank).drop("_first", "_last", "_rows")
 
 
 def percent_rank(df: DataFrame, by: Sequence[str], column: str, out: str) -> DataFrame:
     """SQL ``percent_rank`` ordered by one column, nulls last."""
-    numbered = ranked_rows(df, by, [F.col(column).asc_nulls_last()], "_rn", "_rows")
-    first = numbered.groupBy(*by, column).agg(F.min("_rn").alias("_first")).select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
-        F.col(column).alias("_v"), "_first",
-    )
-    match = numbered[column].eqNullSafe(F.col("_v"))
-    for i, c in enumerate(by):
-        match = match & numbered[c].eqNullSafe(F.col(f"_k{i}"))
     share = F.when(F.col("_rows") > 1, (F.col("_first") - 1) / (F.col("_rows") - 1)).otherwise(0.0)
-    return numbered.join(first, match).select(*df.columns, share.cast("double").alias(out))
+    return _with_places(df, by, column).select(*df.columns, share.cast("double").alias(out))
 
 
 def n_tiles(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], k: int, out: str) -> DataFrame:
@@ -94,16 +124,22 @@ def equal_buckets(
 def exact_quantile(df: DataFrame, by: Sequence[str], column: str, q: float, out: str) -> DataFrame:
     """Linearly interpolated exact quantile per group (``q=0.5`` is the median).
 
-    Only the one or two rows around the wanted position are aggregated per group.
+    Only distinct values are ranked, and the one or two that take the wanted places
+    are aggregated per group.
     """
-    numbered = ranked_rows(
-        df.select(*by, column).where(F.col(column).isNotNull()), by, [column], "_rn", "_rows"
-    )
+    places = value_places(df.select(*by, column).where(F.col(column).isNotNull()), by, column, first="_first", last="_last", total="_rows")
     place = (F.col("_rows") - 1) * F.lit(float(q)) + 1
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_rn") - place))
-    around = numbered.withColumn("_w", weight).where(F.col("_w") > 0)
-    total = F.sum(F.col(column).cast("double") * F.col("_w"))
-    return around.groupBy(*by).agg((total / F.sum("_w")).alias(out))
+    below = F.floor(place)
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= k) & (k <= F.col("_last")), F.col(column).cast("double")))
+
+    ends = places.where((F.col("_first") <= below + 1) & (below <= F.col("_last"))).groupBy(*by).agg(
+        at(below).alias("_low"), at(below + 1).alias("_high"), F.max(place - below).alias("_part")
+    )
+    # beyond the last row there is no upper neighbour, and its weight is zero
+    value = F.when(F.col("_part") > 0, F.col("_low") * (1 - F.col("_part")) + F.col("_high") * F.col("_part")).otherwise(F.col("_low"))
+    return ends.select(*by, value.alias(out))
 
 
 def hash_first_k(

@@ -91,7 +91,7 @@ def decile_statistics(daily: DataFrame, horizon: int) -> DataFrame:
 
 def rank_ic(ranked: DataFrame, score: str = SCORE) -> DataFrame:
     """Spearman correlation of score and return per date with at least three rows (CS-6)."""
-    slim = ranked.select("date", score, RETURN)
+    slim = ranked.select("date", score, RETURN).where(F.col(score).isNotNull() & F.col(RETURN).isNotNull())
     both = average_ranks(average_ranks(slim, ["date"], score, "_a"), ["date"], RETURN, "_b")
     daily = both.groupBy("date").agg(
         F.corr("_a", "_b").alias("rank_ic"), F.count(F.lit(1)).alias("n_stocks"),

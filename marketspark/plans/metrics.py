@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.operators.ranking import average_ranks, equal_buckets
+from marketspark.operators.ranking import equal_buckets, value_places
 
 EPSILON = 2.0 ** -52  # spacing of doubles at one: keeps logarithms finite
 
@@ -17,11 +17,12 @@ def _clip(p):
 def roc_auc(df: DataFrame, target: str, probability: str) -> DataFrame:
     """Area under the ROC curve from mean ranks of the positives; null with one class (PM-1).
 
-    Ranks come from a range partitioning, so scores are never sorted in one task.
+    Rows are counted per score before scores are ranked, so ties cost nothing.
     """
     scored = df.select(F.col(target).cast("double").alias("_y"), _clip(F.col(probability)).alias("_p"))
-    ranked = average_ranks(scored, [], "_p", "_rank")
-    sums = ranked.agg(F.sum("_y").alias("_pos"), F.count("_y").alias("_n"), F.sum(F.col("_y") * F.col("_rank")).alias("_r"))
+    places = value_places(scored, [], "_p", [F.sum("_y").alias("_ones"), F.count("_y").alias("_known")], "_first", "_last")
+    rank = (F.col("_first") + F.col("_last")) / 2
+    sums = places.agg(F.sum("_ones").alias("_pos"), F.sum("_known").alias("_n"), F.sum(F.col("_ones") * rank).alias("_r"))
     pos, neg = F.col("_pos"), F.col("_n") - F.col("_pos")
     return sums.select(F.when((pos > 0) & (neg > 0), (F.col("_r") - pos * (pos + 1) / 2) / (pos * neg)).alias("roc_auc"))
 

@@ -103,3 +103,21 @@ def test_components_of_chain_star_and_cycle(spark):
     assert all(got[i] == 0 for i in range(151))
     assert all(got[i] == 1000 for i in range(1000, 1100))
     assert {got[i] for i in (5000, 5001, 5002)} == {5000} and len(got) == 151 + 100 + 3
+
+
+def test_next_within_keeps_equal_rows(spark):
+    from datetime import date
+
+    from marketspark.operators.joins import next_within
+
+    left = spark.createDataFrame([("a", date(2020, 1, 3)), ("a", date(2020, 1, 3)), ("a", date(2021, 1, 3))], "k string, d date")
+    right = spark.createDataFrame([("a", date(2020, 1, 6)), ("a", date(2020, 1, 7))], "k string, t date")
+    assert [tuple(r) for r in next_within(left, right, ["k"], "d", "t", 7, "n").collect()] == [("a", date(2020, 1, 3), date(2020, 1, 6))] * 2
+
+
+def test_upsert_leaves_one_row_per_key(spark):
+    from marketspark.operators.mutate import append_new, upsert
+
+    old, new = spark.createDataFrame([(1, "a", 0)], "k int, v string, n int"), spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 3), (2, "e", 4)], "k int, v string, n int")
+    assert sorted(tuple(r) for r in upsert(old, new, ["k"], ["n"]).collect()) == [(1, "c", 2), (2, "e", 4)]
+    assert sorted(tuple(r) for r in append_new(old, new, ["k"], ["n"]).collect()) == [(1, "a", 0), (2, "d", 3)]

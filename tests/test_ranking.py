@@ -61,3 +61,15 @@ def test_best_match_limits_rows_before_the_shuffle(rows):
 
     plan = best_match(rows, ["g"], ["x", "id"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_ranks_keep_null_values_and_null_groups(spark):
+    df = spark.createDataFrame([("g", 1, 5.0), ("g", 2, None), (None, 3, 1.0), (None, 4, 1.0)], "g string, id int, x double")
+    assert pairs(R.average_ranks(df, ["g"], "x", "r"), "r") == [(1, 1.0), (2, 2.0), (3, 1.5), (4, 1.5)]
+
+
+def test_a_value_that_all_rows_share_is_one_row(spark):
+    df = spark.range(200_000).select("id", F.lit("g").alias("g"), F.lit(0.5).alias("x"))
+    places = R.value_places(df, ["g"], "x")
+    assert [tuple(r) for r in places.collect()] == [("g", 0.5, 1, 200_000, 200_000)]
+    assert R.exact_quantile(df, ["g"], "x", 0.3, "v").first().v == 0.5
