@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketspark.operators.selection import best_match, with_group_values
 from marketspark.operators.timeline import SLICE_DAYS, neighbours, running, time_slice
-from marketspark.session import bounded_broadcast
+from marketspark.session import bounded_broadcast, stage
 
 
 def inner_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -121,6 +121,8 @@ def asof_join(
     tagged = events.select(*on, F.col("_t").cast("timestamp_ntz"), F.lit(0).alias("_side"), "_row").unionByName(
         probes.select(*on, F.col("_t").cast("timestamp_ntz"), F.lit(1).alias("_side")), allowMissingColumns=True
     )
+    # keys, times and events only: the left side itself is read once more, in the join at the end
+    tagged = stage(tagged)
     filled = running(
         tagged, on, ["_t", "_side"], {"_found": ("last", F.col("_row"))}, slice_days=slice_days
     ).where(F.col("_side") == 1)

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.session import stage
+
 SLICE_DAYS = 180
 _START = Window.unboundedPreceding
 
@@ -111,7 +113,8 @@ def running(
             carries.append(fold(partial).over(earlier).alias(carry))
             local.append(fold(value).over(inside).alias(f"_w{carry}"))
             results.append(merge(F.col(f"_w{carry}"), F.col(carry)).alias(name))
-    carried = summary.select(*group, *carries)
+    # one row per (key, slice), written once: the result then reads its input a single time, and chains stay linear
+    carried = stage(summary.select(*group, *carries))
     kept = [c for c in columns if c not in specs]
     windowed = sliced.join(carried, group, "left").select("*", *local)
     return windowed.select(*kept, *results)
