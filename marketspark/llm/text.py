@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 SEGMENT = 1 << 20
+PIECE_BYTES = 4 << 20
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +61,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def map_batches(df: DataFrame, schema: T.StructType, step: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """Rows of ``schema`` made from each Arrow batch of ``df`` by ``step``, which returns one array or list per column."""
+    """Rows of ``schema`` made from the Arrow batches of ``df`` by ``step``, which returns one array or list per column.
+
+    Batches are cut to about ``PIECE_BYTES``, as what is made from a text can be many times its size.
+    """
 
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            rows = max(1, whole.num_rows * PIECE_BYTES // max(whole.nbytes, 1))
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
                 columns = [
                     c if isinstance(c, (pa.Array, pa.ChunkedArray)) and c.type == f.type else pa.array(c, f.type)
                     for c, f in zip(step(batch), arrow)
