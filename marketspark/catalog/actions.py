@@ -318,13 +318,13 @@ def _(v):
 @query("tb80_rebuild", """SELECT 'security_daily_return' AS table_name, count(*) AS rows, count(DISTINCT security_id) AS entities FROM y_return UNION ALL SELECT 'security_gtr_index', count(*), count(DISTINCT security_id) FROM y_research
     UNION ALL SELECT 'research_feature_label_model', count(*), count(DISTINCT security_id) FROM y_research WHERE final_research_eligible""", ints="rows entities")
 def _(v):
-    import tempfile
+    from uuid import uuid4
 
     from marketspark.operators.quality import table_counts
     from marketspark.plans.rebuild import rebuild
     from marketspark.session import ensure_checkpoint_dir
 
-    folder = f"{ensure_checkpoint_dir(v.spark)}/rebuild-{next(tempfile._get_candidate_names())}"
+    folder = f"{ensure_checkpoint_dir(v.spark)}/rebuild-{uuid4().hex}"
     prices = v.priced.withColumns({"reconciliation_status": F.lit("native"), "observation_type": F.lit("native")})
     none = v.validation_bars.limit(0)
     inputs = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ def _folder(v):
     from marketspark.session import ensure_checkpoint_dir
 
     base = ensure_checkpoint_dir(v.spark)
-    return f"{base}/out-{next(tempfile._get_candidate_names())}"
+    return f"{base}/out-{uuid4().hex}"
 
 
 @query("src1_read_table", "SELECT * FROM nation")

@@ -179,9 +179,15 @@ def latest_within(
     left: DataFrame, right: DataFrame, key: Sequence[str], left_time: str, right_time: str, days: int,
     identity: Sequence[str], tie: Sequence[str | Column] = (),
 ) -> DataFrame:
-    """Latest right row at most ``days`` days on or before the left time, per ``identity``."""
-    pairs = band_join(left, right, key, left_time, right_time, days, 0)
-    return best_match(pairs, identity, [F.col(right_time).desc(), *tie])
+    """Latest right row at most ``days`` days on or before the left time, per ``identity``; left rows without one are dropped.
+
+    An as-of join with a maximum age: no pairs of the band are formed. ``tie`` orders
+    right rows of one key and time, the first wins.
+    """
+    one = best_match(right, [*key, right_time], [*tie] or [c for c in right.columns if c not in key])
+    names = {c: c for c in right.columns if c not in key}
+    found = asof_join(left, one, key, left_time, right_time, names, max_age_days=days)
+    return best_match(found.where(F.col(right_time).isNotNull()), identity, [F.col(right_time).desc(), *tie])
 
 
 def next_within(
