@@ -206,9 +206,11 @@ def _(v):
     return J.provider_pair(dated, v.vendor_bars, "security_id", "date", "previous_date", ["close"]).drop("previous_date")
 
 
-@query("jn29_connected_components", """WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_quantity <= 1 AND l_discount <= 0.005),
-    both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(root, node) AS (SELECT a, a FROM both_ways UNION SELECT r.root, e.b FROM reach r JOIN both_ways e ON e.a = r.node)
-    SELECT node, min(root) AS component FROM reach GROUP BY node""")
+@query("jn29_connected_components", """WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem),
+    both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+    least_seen(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM both_ways GROUP BY a
+        UNION SELECT e.b, min(s.component) FROM least_seen s JOIN both_ways e ON e.a = s.node JOIN recurring.least_seen o ON o.node = e.b WHERE s.component < o.component GROUP BY e.b)
+    SELECT node, component FROM least_seen""")
 def _(v):
-    edges = v.lineitem.where("l_quantity <= 1 AND l_discount <= 0.005").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"))
+    edges = v.lineitem.select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b"))
     return connected_components(edges, "a", "b")
