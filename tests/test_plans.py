@@ -1,5 +1,6 @@
 """Worked examples of returns, guards, caps, filings and evaluation."""
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -98,6 +99,30 @@ def test_guard_split_boundary_and_ineligible_rows(spark):
     assert got == ["no_prior_eligible_observation", "split_boundary_unchecked", "not_eligible", "accepted", "not_eligible"]
 
 
+def test_guard_slices_equal_one_walk(spark):
+    """Yearly slices against a plain loop over all filings of a security."""
+    rng, rows, want = random.Random(4), [], {}
+    for security in (1, 2, 3):
+        base = None
+        for k in range(40):
+            day = date(2010, 1, 1) + timedelta(days=75 * k + security)
+            shares, factor, bad = rng.choice([1e6, 1.2e6, 3e9, 5e8, None]), rng.choice([1.0] * 12 + [2.0]), rng.random() < 0.1
+            rows.append((security, "T", "T.US", day, day, float(k), shares, factor, bad, 1))
+            if bad or shares is None:
+                kind = "not_eligible"
+            elif base is None:
+                kind = "no_prior_eligible_observation"
+            elif abs(factor / base[1] - 1) > 0.01:
+                kind = "split_boundary_unchecked"
+            else:
+                kind = "quarantined_100x_up" if shares / base[0] >= 100 else "accepted"
+            want[security, day] = (kind, base[0] if base else None)
+            if kind not in ("not_eligible", "quarantined_100x_up"):
+                base = (shares, factor)
+    got = guard.classify_filings(spark.createDataFrame(rows, FACTS)).collect()
+    assert {(r.security_id, r.shares_filing_date): (r.guard_status, r.prior_accepted_shares) for r in got} == want and len(got) == len(rows)
+
+
 def test_guard_on_a_stream_keeps_its_baseline(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = filed([40e6, 40e9, 41e9, 40.5e6])

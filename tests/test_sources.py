@@ -56,6 +56,11 @@ def test_changed_dictionary_fails(spark):
         parse(spark, [*HEAD, "|20200131|B"]).collect()
 
 
+def test_archive_without_rows_fails(spark):
+    with pytest.raises(Exception, match="without data rows"):
+        parse(spark, HEAD).collect()
+
+
 def test_tampered_bytes_fail(spark):
     bad = table(spark, archive(HEAD)).withColumn("source_sha256", F.lit("0" * 64))
     with pytest.raises(Exception, match="do not match digest"):
