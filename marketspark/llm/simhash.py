@@ -33,6 +33,7 @@ from marketspark.session import bounded_broadcast, stage
 
 BITS = 64
 MAX_RADIUS = 3
+REACH = 16
 SAMPLE_ROWS = 2048
 BLOCK = 256  # texts compared with each other in one place
 PROBE_COST, CANDIDATE_COST = 1.0, 0.05  # a probe row is shuffled, a candidate only compared
@@ -190,7 +191,7 @@ def plan_search(prints: DataFrame, distance: int, sample_rows: int = SAMPLE_ROWS
 
 
 def _neighbour_links(nodes: DataFrame, distance: int, second: int) -> DataFrame:
-    """Links between nodes next to each other in four rotated sort orders: at most four a node, however dense a group is."""
+    """Links between nodes up to ``REACH`` places apart in four rotated sort orders: a bounded number a node, however dense a group is."""
     turned = F.array(*[
         F.struct(F.lit(k).alias("turn"), (F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", BITS - 16 * k)) if k else F.col("fp")).alias("at"))
         for k in range(4)
@@ -200,11 +201,15 @@ def _neighbour_links(nodes: DataFrame, distance: int, second: int) -> DataFrame:
     def run(batches):
         last = [np.zeros(0, dtype=np.int64)] * 4
         for batch in batches:
+            seen = len(last[0])
             turn, node, fp, fp2 = (np.concatenate([a, b.to_numpy()]) for a, b in zip(last, batch.columns))
-            near = (turn[1:] == turn[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= distance)
-            near &= np.bitwise_count((fp2[1:] ^ fp2[:-1]).view(np.uint64)) <= second
-            yield pa.RecordBatch.from_arrays([pa.array(node[:-1][near]), pa.array(node[1:][near])], names=["a", "b"])
-            last = [x[-1:] for x in (turn, node, fp, fp2)]
+            for step in range(1, REACH + 1):
+                right = np.arange(max(seen, step), len(node))
+                left = right - step
+                near = (turn[left] == turn[right]) & (np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= distance)
+                near &= np.bitwise_count((fp2[left] ^ fp2[right]).view(np.uint64)) <= second
+                yield pa.RecordBatch.from_arrays([pa.array(node[left[near]]), pa.array(node[right[near]])], names=["a", "b"])
+            last = [x[-REACH:] for x in (turn, node, fp, fp2)]
 
     return ordered.mapInArrow(run, "a long, b long")
 
