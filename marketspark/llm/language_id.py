@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.text import map_batches, schema_of
+from marketspark.llm.text import free_name, map_batches, schema_of
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -174,8 +174,6 @@ def predictions(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents whose language is told with certainty: neither ``und`` nor ambiguous. Columns stay as they are."""
-    from marketspark.llm.text import free_name
-
     model = fit(docs, "doc_id", "text", "lang", learned_rows(F.col("doc_id")), sample_rows)
     names = tuple(free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_ambiguous"))
     told = identify(docs.withColumn("text", F.col("text").cast("string")), model, "text", names)
