@@ -36,6 +36,7 @@ MAX_RADIUS = 3
 REACH = 16
 SAMPLE_ROWS = 2048
 BLOCK = 256  # texts compared with each other in one place
+SAMPLE_TEXTS, CROWDED, HELD_BACK, ROUNDS, WASTE = 4096, 32, 100_000, 3, 64  # which shingles stand last in the exact search; cost only
 PROBE_COST, CANDIDATE_COST = 1.0, 0.05  # a probe row is shuffled, a candidate only compared
 
 
@@ -358,6 +359,86 @@ def _alike(members: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFram
     return connected_components(links.unionByName(_spanning_links(asked, grams, min_jaccard)), "a", "b")
 
 
+def _hash_counts(rows: DataFrame, limit: int, least: int) -> np.ndarray:
+    """The ``limit`` most frequent hashes of ``rows`` that occur ``least`` times or more."""
+    found = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(limit).collect()
+    return np.unique(np.array([r.gram for r in found], dtype=np.int64).view(np.uint64))
+
+
+def _prefixes(source: DataFrame, last: np.ndarray, min_jaccard: float, width: int) -> DataFrame:
+    """(key, size, grams): of every text the shingle hashes of which any text as similar as ``min_jaccard`` holds one.
+
+    Two such texts share more shingles than either has outside its prefix, so their
+    prefixes meet in any order of shingles that all texts keep. That of the hash is taken,
+    with the hashes ``last`` after all others.
+    """
+
+    def prefix(text: bytes) -> tuple[int, np.ndarray]:
+        found = shingle_hashes(text, width)
+        behind = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found if len(last) else np.zeros(len(found), dtype=bool)
+        count = len(found) - math.ceil(min_jaccard * len(found) - 1e-9) + 1 if len(found) else 0
+        return len(found), np.concatenate([found[~behind], found[behind]])[:count].view(np.int64)
+
+    def step(batch):
+        texts = as_bytes(batch.column(0))
+        made = [prefix(t) for t in texts]
+        return [[_normal_key(t) for t in texts], [m[0] for m in made], [m[1] for m in made]]
+
+    return map_batches(source.select("text"), schema_of(("key", T.StringType()), ("size", T.LongType()), ("grams", T.ArrayType(T.LongType()))), step)
+
+
+def _missed_pairs(source: DataFrame, clusters: DataFrame, texts: int, min_jaccard: float, width: int) -> DataFrame:
+    """(a, b): texts of different clusters whose prefixes meet; holds every such pair as similar as ``min_jaccard``.
+
+    A hash that only one cluster holds makes no pair, so a dense group that is joined
+    already costs nothing. If hashes of many texts would make more than ``WASTE`` pairs a
+    text, they are moved behind all others and prefixes are made again.
+    """
+    def hashes(batch):
+        return [np.concatenate([shingle_hashes(t, width) for t in as_bytes(batch.column(0))] or [np.zeros(0, dtype=np.uint64)]).view(np.int64)]
+
+    sample = source.where(F.pmod("h", F.lit(max(1, texts // SAMPLE_TEXTS))) == 0).dropDuplicates(["h"]).select("text")
+    last = _hash_counts(map_batches(sample, schema_of(("gram", T.LongType())), hashes), HELD_BACK, 2)
+    named = bounded_broadcast(clusters.select(F.col("node").alias("_node"), "component"))
+    for left in reversed(range(ROUNDS)):
+        made = stage(_prefixes(source, last, min_jaccard, width))
+        held = made.join(named, F.col("key") == F.col("_node"), "left").select(
+            "key", "size", F.xxhash64(F.coalesce("component", "key")).alias("home"), F.posexplode("grams").alias("at", "gram")
+        )
+        shared = stage(held.groupBy("gram").agg(F.min("home").alias("one"), F.max("home").alias("other")).where("one <> other").select(F.col("gram").alias("_gram")))
+        met = stage(held.join(bounded_broadcast(shared), F.col("gram") == F.col("_gram")).select("gram", "key", "size", "home", "at").distinct())
+        each = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+        if not left or (each.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0) <= WASTE * texts:
+            break
+        crowded = np.setdiff1d(_hash_counts(met, HELD_BACK, CROWDED + 1), last)
+        if not len(crowded):
+            break
+        last = np.union1d(last, crowded)
+    a, b = (met.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "home", "at")]) for side in "ab")
+    larger, smaller = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
+    # from the first hash that two texts share on, both must hold what they need to share
+    rest, needed = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")), min_jaccard / (1 + min_jaccard) * (larger + smaller)
+    near = (F.col("key_a") < F.col("key_b")) & (F.col("home_a") != F.col("home_b")) & (smaller >= min_jaccard * larger - 1e-6) & (rest >= needed - 1e-6)
+    return a.join(b, "gram").where(near).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFrame:
+    """The pairs whose shingles are as similar as ``min_jaccard``."""
+    one, other = (grams.select(F.col("key").alias(f"key_{side}"), F.col("grams").alias(f"grams_{side}")) for side in "ab")
+    both = pairs.join(one, F.col("a") == F.col("key_a")).join(other, F.col("b") == F.col("key_b")).select("a", "b", "grams_a", "grams_b")
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(shared >= min_jaccard * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return both.mapInArrow(run, "a string, b string")
+
+
 def without_near_duplicates(
     docs: DataFrame, max_distance: int = 8, max_second: int = 16, min_jaccard: float = 0.8, width: int = 5
 ) -> DataFrame:
@@ -366,7 +447,8 @@ def without_near_duplicates(
     Candidates are linked by SimHash over the distinct words, which near copies change
     little, and by a second one over ``width``-word shingles, which unrelated texts never
     share. They are verified by the Jaccard similarity of their ``width``-word shingles.
-    Texts of equal words are one text from the start. Of rows repeated as a whole one
+    That joins dense groups cheaply; pairs beyond the distances, such as cut or extended
+    copies, are then found exactly by the shingles that similar texts must share. Texts of equal words are one text from the start. Of rows repeated as a whole one
     stays; a null id counts as the largest.
     """
     text = F.col("text").cast("string")
@@ -388,13 +470,22 @@ def without_near_duplicates(
     crowded = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("label").alias("_label"))
     members = stage(labelled.join(crowded, F.col("label") == F.col("_label"), "left_semi"))
 
-    wanted = bounded_broadcast(members.select("key", F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h")))
-    held = source.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("key", "text")
     gram_rows = schema_of(("key", T.StringType()), ("grams", T.ArrayType(T.LongType())))
-    grams = stage(
-        map_batches(held, gram_rows, lambda b: [b.column(0), [shingle_hashes(t, width).view(np.int64) for t in as_bytes(b.column(1))]]).dropDuplicates(["key"])
-    )
-    clusters = _alike(members, grams, min_jaccard).select(F.col("node").alias("_node"), "component")
+
+    def grams_of(keyed: DataFrame) -> DataFrame:
+        wanted = bounded_broadcast(keyed.select("key", F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h")))
+        held = source.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("key", "text")
+        return stage(
+            map_batches(held, gram_rows, lambda b: [b.column(0), [shingle_hashes(t, width).view(np.int64) for t in as_bytes(b.column(1))]]).dropDuplicates(["key"])
+        )
+
+    clusters = stage(_alike(members, grams_of(members), min_jaccard).select("node", "component"))
+    pairs = stage(_missed_pairs(source, clusters, texts.count(), min_jaccard, width))
+    asked = texts.join(bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key", "left_semi")
+    links = stage(_verified(pairs, grams_of(asked), min_jaccard))
+    if not links.isEmpty():
+        clusters = connected_components(links.unionByName(clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+    clusters = clusters.select(F.col("node").alias("_node"), "component")
     grouped = texts.join(clusters, F.col("key") == F.col("_node"), "left").groupBy(F.coalesce("component", "key").alias("group")).agg(F.min("rep").alias("rep"))
     kept = grouped.select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"), F.lit(True).alias("_kept"))
     counted = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))

@@ -144,6 +144,35 @@ def test_blocks_join_what_brute_force_joins(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.without_near_duplicates(df, 14, 30).collect()) == sorted({root(i) for i in sets})
 
 
+def test_every_similar_pair_is_joined_at_the_defaults(spark):
+    rng = random.Random(21)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    footer, texts = words(14), []
+    for n in (30, 60, 120, 300, 1200):
+        for share in (0.05, 0.1, 0.15, 0.19):
+            base, k = words(n), int(n * share)
+            at = rng.randrange(n - k)
+            texts += [base, base + words(k), base[: n - k], words(k) + base, base[:at] + words(k // 2) + base[at + k // 2:]]
+    texts += [words(40) + footer for _ in range(60)] + [words(3) + footer for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: {tuple(t[k:k + 5]) for k in range(len(t) - 4)} for i, t in enumerate(texts)}
+    home = {i: i for i in sets}
+
+    def root(k):
+        while home[k] != k:
+            k = home[k]
+        return k
+
+    for a, b in combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            home[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(df).collect()) == sorted({root(i) for i in sets})
+
+
 # --- decontamination
 
 
