@@ -29,6 +29,8 @@ ADDRESS = {
     "m": "Mr|Herr|Monsieur|Señor|Sr|Sir", "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Mlle|Señora|Señorita|Sra|Srta|Lady", "n": "Dr|Prof",
     "mc": "господин|г-н|κύριος|κ", "fc": "госпожа|г-жа|κυρία|κα",
 }
+#: First letters of the forms of address, so that the pattern is not tried elsewhere.
+INITIALS = "".join(sorted({form[0] for forms in ADDRESS.values() for form in forms.split("|")}))
 #: Patterns in order of preference.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -37,7 +39,7 @@ PATTERNS = {
     "card": r"(?<![\d+])(?:\d{4}(?:[ -]?\d{4}){3}|\d{13,19})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "person": r"(?=[MHSLDPгκ])(?<!\p{L})(?:" + "|".join(ADDRESS.values()) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
+    "person": rf"(?=[{INITIALS}])(?<!\p{{L}})(?:" + "|".join(ADDRESS.values()) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match holds; tells cheaply that a text has nothing to find.

@@ -332,6 +332,14 @@ def test_surrogates_are_distinct_and_coreferent(spark, odd_docs, no_docs):
     assert rows_of(pii.replace_personal_data(df, "key")) == rows_of(pii.replace_personal_data(df, "key")) != rows_of(pii.replace_personal_data(df, "other"))
 
 
+def test_every_form_of_address_names_a_person(spark):
+    forms = [form for forms in pii.ADDRESS.values() for form in forms.split("|")]
+    df = spark.createDataFrame([(i, f"then {form} Schmidt left") for i, form in enumerate(forms)], "doc_id long, text string")
+    got = pii.replace_personal_data(df, key="k").collect()
+    assert len(got) == len(forms)
+    assert [r.text for r in got if "Schmidt" in r.text] == []
+
+
 def test_surrogates_that_collide_are_drawn_again(spark):
     values = spark.range(0, 4000).selectExpr("'phone' AS kind", "lpad(cast(id as string), 5, '0') AS canon", "cast(null as string) AS known")
     got = pii.distinct_surrogates(values, "key").collect()
