@@ -50,6 +50,10 @@ INSIDE_NAMES = frozenset("article articlebody content post entry story main main
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 FURNITURE = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookie|privacy policy|terms of (use|service)|subscribe|sign (in|up)|log ?in|advertisement|sponsored", re.I)
 
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+#: States of an element: 1 inside the article, 0 unknown, -1 outside; below that the element's contents are outside too, with these exceptions.
+FORM, NAMED, GONE = -2, -3, -4  # an article or main in a form is inside; so is a main below a comment name; nothing else is
+
 #: Weights of the classifier; positive speaks for content.
 WEIGHTS = {"base": 0.6, "long": 1.0, "sentence": 0.4, "paragraph": 0.4, "heading": 0.2, "links": -3.0, "list": -0.3, "furniture": -1.5, "inside": 6.0, "outside": -8.0}
 NEXT_EDGE, PARENT_EDGE = 0.6, 0.8
@@ -62,25 +66,33 @@ class _Element:
         self.tag, self.state, self.unseen, self.number = tag, state, unseen, number
 
 
-def _state(tag: str, attrs: list, above: int) -> int:
-    """1 inside the article, -1 outside, -2 outside for good; inherited unless the element says otherwise."""
-    if above == -2:
-        return -2
-    names = set()
+def _state(tag: str, attrs: list, above: int, forms: bool = True, strict: bool = True) -> int:
+    """State of an element; inherited unless the element says otherwise. ``forms``: a form is outside; ``strict``: so is an article below a comment name."""
+    if above == GONE:
+        return GONE
+    names, root = set(), tag in ("html", "body")
     for key, value in attrs:
         if key in ("class", "id", "role", "itemprop") and value:
             names.update(x.lower() for x in NAME.findall(value))
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and "display:none" in value.replace(" ", "").lower()):
-            return -2
-    if tag in OUTSIDE or names & COMMENT_NAMES:
-        return -2
+            return GONE
+    if tag in OUTSIDE and tag != "form":
+        return GONE
+    if names & COMMENT_NAMES and not root:
+        return NAMED
     if tag in INSIDE:
-        return -2 if above == -1 and names & OUTSIDE_NAMES else 1
-    if names & OUTSIDE_NAMES and not (tag in ("html", "body")):
+        if above < 0 and names & OUTSIDE_NAMES:
+            return GONE
+        return NAMED if above == NAMED and strict and tag != "main" else 1
+    if above == NAMED:
+        return NAMED
+    if above == FORM or (tag == "form" and forms):
+        return FORM
+    if names & OUTSIDE_NAMES and not root:
         return -1
     if tag == "header" or names & HEADER_NAMES:
         return above if above == 1 else -1
-    if names & INSIDE_NAMES and above >= 0 and tag not in ("html", "body"):
+    if names & INSIDE_NAMES and above >= 0 and not root:
         return 1
     return above
 
@@ -95,8 +107,9 @@ class _Block:
 class _Blocks(HTMLParser):
     """Text blocks of a page in order."""
 
-    def __init__(self):
+    def __init__(self, **rules):
         super().__init__(convert_charrefs=True)
+        self.rules = rules
         self.stack = [_Element("", 0, False, 0)]
         self.blocks: list[_Block] = []
         self.open: _Block | None = None
@@ -106,6 +119,10 @@ class _Blocks(HTMLParser):
         self.open = None
         self.moves += 1
 
+    def parse_comment(self, i, report=1):
+        """End of the comment at ``i``; an open comment runs to the end of the page, which is fed as a whole."""
+        return COMMENT.match(self.rawdata, i).end()
+
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             if tag in ("br", "wbr"):
@@ -120,7 +137,7 @@ class _Blocks(HTMLParser):
         above = self.stack[-1]
         self.numbers += 1
         self.links += tag == "a"
-        self.stack.append(_Element(tag, _state(tag, attrs, above.state), above.unseen or tag in UNSEEN, self.numbers))
+        self.stack.append(_Element(tag, _state(tag, attrs, above.state, **self.rules), above.unseen or tag in UNSEEN, self.numbers))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -253,16 +270,32 @@ def _saturate(room, source, sink) -> set[int]:
                     level.pop(a)
 
 
-def extract(html: str | None) -> str:
-    """Main text of one page, its blocks joined by newlines."""
-    html = html or ""
-    comment = html.rfind("<!--")
-    if comment >= 0 and "-->" not in html[comment:]:
-        html = html[:comment]  # an open comment runs to the end of the page
-    parser = _Blocks()
+def _found(html: str, **rules) -> list[tuple[_Block, str]]:
+    """Blocks that hold text, and their text."""
+    parser = _Blocks(**rules)
     parser.feed(html)
     parser.close()
-    found = [(b, t) for b in parser.blocks if (t := " ".join("".join(b.parts).split()))]
+    return [(b, t) for b in parser.blocks if (t := " ".join("".join(b.parts).split()))]
+
+
+def _length(found: list[tuple[_Block, str]], *states: int) -> int:
+    return sum(len(t) for b, t in found if b.state in states)
+
+
+def extract(html: str | None) -> str:
+    """Main text of one page, its blocks joined by newlines.
+
+    A form that holds most of the page's text is a wrapper and says nothing. On a page
+    whose text is mostly below comment names and that has no article elsewhere, an
+    article below such a name is the article.
+    """
+    rules, html = {}, html or ""
+    found = _found(html)
+    if _length(found, FORM) > _length(found, 0, 1):
+        rules["forms"] = False
+        found = _found(html, **rules)
+    if _length(found, NAMED) > _length(found, 0) and not _length(found, 1):
+        found = _found(html, strict=False, **rules)
     edges, last = [], {}
     for k, (block, _) in enumerate(found):
         if k:

@@ -88,6 +88,31 @@ def test_page_regions():
     assert html_extract.extract("<p>a" + "<div>" * 3000 + "b" * 200_000) == "a\n" + "b" * 200_000
 
 
+def test_open_comments_end_the_page_in_markup_only():
+    body = "<article><p>Body</p></article>"
+    for before in ("<script><!-- var a=1;</script>", "<style><!-- p {}</style>", '<p title="<!--"></p>', "<!-- c --!>", "<!-->", "<!--->", "<!-- a -- b > c -->"):
+        assert html_extract.extract(before + body) == "Body"
+    assert html_extract.extract(f"{body}<p>seen</p><!-- open <article><p>Not seen</p></article>").startswith("Body")
+    assert "Not" not in html_extract.extract(f"{body}<!-- open <article><p>Not seen</p></article>")
+
+
+def test_wrappers_do_not_hide_the_page():
+    prose = "<p>A paragraph that is long enough to be read as prose by the weights.</p>"
+    text = prose[3:-4]
+    for page in (
+        f'<body class="comments-open">{prose}</body>', f'<html class="no-comments"><body>{prose}', f"<body><form>{prose}</form></body>",
+        f'<form><nav>Home</nav><div class="content">{prose}</div></form>', f"<h1>x</h1><form><article>{prose}</article></form>",
+        f'<div class="comments-wrap"><article>{prose}</article></div>', f'<div id="discussion"><main>{prose}</main></div>',
+    ):
+        assert html_extract.extract(page).split("\n")[-1] == text, page
+    for page in (
+        f'<article>{prose}</article><section id="comments"><article>{prose * 3}</article></section>', f"<article>{prose}</article><form>{prose * 3}</form>".replace(prose * 3, "<p>Your name here.</p>"),
+        f'<form><article>{prose}</article><div class="comments"><p>Nice words by a reader of it.</p></div></form>',
+    ):
+        assert html_extract.extract(page) == text, page
+    assert html_extract.extract(f'<article hidden>{prose}</article>') == html_extract.extract(f'<div class="comments"><article class="comment">{prose}</article></div>') == ""
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(60):
