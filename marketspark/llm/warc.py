@@ -44,7 +44,6 @@ END = b"\r\n\r\n"
 
 RANGE_BYTES = 16 << 20
 BLOCK = 1 << 18
-HEADER_LIMIT = 1 << 16
 
 RECORD = schema_of(
     ("record_id", T.StringType()), ("record_type", T.StringType()), ("target_uri", T.StringType()), ("refers_to", T.StringType()),
@@ -115,14 +114,16 @@ class _Window:
 
 def _header(window: _Window, at: int) -> dict[str, str] | None:
     """The WARC header of the member that starts at ``at``, or None if there is none."""
-    unpack, text = zlib.decompressobj(31), b""
+    unpack, text, seen = zlib.decompressobj(31), bytearray(), 0
     try:
-        while END not in text and len(text) < HEADER_LIMIT and not unpack.eof:
-            data = window.read(at, 1 << 12)
+        while text.find(END, max(seen - len(END) + 1, 0)) < 0 and not unpack.eof:
+            seen, data = len(text), unpack.unconsumed_tail
             if not data:
-                break
-            at += len(data)
-            text += unpack.decompress(data, HEADER_LIMIT)
+                data = window.read(at, 1 << 12)
+                if not data:
+                    break
+                at += len(data)
+            text += unpack.decompress(data, 1 << 16)
             if text and not text.startswith(b"WARC/1."[: len(text)]):
                 return None
     except zlib.error:

@@ -68,6 +68,19 @@ def test_reader_skips_what_is_no_record(spark, tmp_path):
     assert [(r.record_id, r.payload_bytes) for r in found] == [("urn:page:1", 7)]
 
 
+def test_long_urls_come_back(spark, tmp_path):
+    rng = random.Random(4)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100_000))
+    urls = ["http://x/" + noise, "http://x/" + "a" * 3_000_000, "http://x/" + noise[::-1]]
+    rows = [(1, urls[0], "one"), (2, urls[1], "two"), (3, urls[2], "one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/archive")
+    found = warc.read(spark, f"file://{tmp_path}/archive").collect()
+    assert sorted((r.record_id, r.record_type, r.target_uri, r.refers_to) for r in found) == [
+        ("urn:page:1", "response", urls[0], None), ("urn:page:2", "response", urls[1], None), ("urn:page:3", "revisit", urls[2], "urn:page:1"),
+    ]
+
+
 def test_small_payloads_may_stay_responses(spark, tmp_path):
     pages = pages_of(spark, [(1, "u", "aa", None), (2, "u", "aa", None), (3, "u", "a" * 50, None), (4, "u", "a" * 50, None)])
     found = warc.archived(pages, f"file://{tmp_path}/small", min_revisit=10)
