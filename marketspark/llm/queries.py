@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import byte_bpe, decontamination, html_extract, language_id, pii, quality_model, quality_rules, secret_scan, simhash, warc
+from marketspark.llm import (
+    byte_bpe, decontamination, html_extract, language_id, line_dedup, merkle, pii, quality_model, quality_rules, secret_scan, simhash, spelling, warc,
+)
 from marketspark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,11 @@ def _sql_words(text: str) -> str:
     return rf"list_filter(string_split_regex(translate({text}, '{upper}', '{upper.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def _sql_lower(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"translate({text}, '{upper}', '{upper.lower()}')"
+
+
 def _sql_shingles(words: str, width: int) -> str:
     return (
         f"CASE WHEN len({words}) >= {width} THEN list_distinct(list_transform(range(1, len({words}) - {width} + 2),"
@@ -163,3 +170,99 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them, as digests."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), *byte_bpe.default_table())
+
+
+@query("op11_line_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS p FROM d),
+k AS (SELECT *, {_sql_lower("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM u),
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (key) GROUP BY r, doc_id
+""")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten or more documents hold."""
+    kept = line_dedup.without_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: CRC-32 of a list of bytes in DuckDB, by the table of the 256 remainders.
+_CRC_TABLE = "(SELECT list(list_reduce([i] || range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t FROM range(256) AS x(i))"
+
+
+def _sql_crc(text: str) -> str:
+    """CRC-32 of ASCII text and letters up to U+00FF; ``crc.t`` is the table."""
+    bytes_ = f"flatten(list_transform(string_split({text}, ''), lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)] ELSE [195, unicode(s) - 64] END))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || CAST({bytes_} AS BIGINT[]), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+def _manifest_sql() -> str:
+    """The levels by a recursive grouping, the climb by a recursive join, first within the sources and then above them."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def levels(name: str, start: str) -> str:
+        return f"""
+{name} AS ({start} UNION ALL
+  SELECT key, l + 1, p // 16, max((n + 15) // 16), sha256(string_agg(h, '' ORDER BY p)) FROM {name} WHERE n > 1 GROUP BY key, l, p // 16),
+{name}_run AS (SELECT key, l, p // 16 AS q, list(h ORDER BY p) AS hs FROM {name} WHERE n > 1 GROUP BY key, l, p // 16)"""
+
+    def climb(name: str, start: str, runs: str) -> str:
+        here = "CAST(p % 16 AS BIGINT)"
+        return f"""
+{name} AS ({start} UNION ALL
+  SELECT r, c.key, c.l + 1, p // 16, sha256(array_to_string(hs[:{here}] || [folded] || hs[{here} + 2:], '')), proof || array_to_string(hs[:{here}] || hs[{here} + 2:], '')
+  FROM {name} c JOIN {runs} x ON x.key = c.key AND x.l = c.l AND x.q = p // 16)"""
+
+    return f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS key, {leaf('text')} AS leaf, {leaf(_sql_lower('text'))} AS other,
+  coalesce({_sql_crc('CAST(doc_id AS VARCHAR)')} % 5 = 0, false) AS changed FROM documents, crc),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY key) AS n FROM d),
+{levels('low', 'SELECT key, 0 AS l, p, n, leaf AS h FROM o')},
+s AS (SELECT key, h, row_number() OVER (ORDER BY key COLLATE "C") - 1 AS p, count(*) OVER () AS n FROM low WHERE n = 1),
+{levels('high', "SELECT '' AS key, 0 AS l, p, n, h FROM s")},
+{climb('up', "SELECT r, key, 0 AS l, p, CASE WHEN changed THEN other ELSE leaf END AS folded, '' AS proof FROM o", 'low_run')},
+sub AS (SELECT r, up.key, folded, proof FROM up JOIN (SELECT r, max(l) AS l FROM up GROUP BY r) USING (r, l)),
+{climb('over', "SELECT r, '' AS key, 0 AS l, s.p, folded, proof FROM sub JOIN s ON s.key = sub.key", 'high_run')},
+fin AS (SELECT r, folded, proof FROM over JOIN (SELECT r, max(l) AS l FROM over GROUP BY r) USING (r, l))
+SELECT doc_id, leaf, s.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = top.h AS verified
+FROM o JOIN fin USING (r) JOIN s ON s.key = o.key, (SELECT h FROM high WHERE n = 1) AS top
+"""
+
+
+@query("op12_merkle_manifest", _manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's way to the root of the manifest, one in five of them altered on the way."""
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.verify(merkle.build_manifest(docs, changed=merkle.tampered_case(docs)))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_sql_lower('text')}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT r, id, run, count(*) AS n FROM d WHERE length(run) >= 6 GROUP BY r, id, run),
+h AS (SELECT run, n, {_sql_crc("id || ':' || run")} AS h FROM g, crc),
+f AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS (SELECT word, unnest(list_transform(range(length(word)), lambda i: substr(word, 1, i) || '_' || substr(word, i + 2))) AS hole FROM w),
+l AS (SELECT DISTINCT word, replace(hole, '_', '') AS less FROM c),
+pairs AS (SELECT a.word, b.word AS near FROM c a JOIN c b USING (hole) WHERE a.word <> b.word
+  UNION SELECT l.word, w.word FROM l JOIN w ON w.word = l.less UNION SELECT w.word, l.word FROM l JOIN w ON w.word = l.less),
+best AS (SELECT p.word, count(*) AS n_near, max(b.n) AS top FROM pairs p JOIN w b ON b.word = p.near GROUP BY p.word),
+form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN top END AS form_n,
+  CASE WHEN top >= 5 * w.n THEN (SELECT min(p.near COLLATE "C") FROM pairs p JOIN w b ON b.word = p.near WHERE p.word = w.word AND b.n = top) END AS form
+  FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.at WHERE form.form IS NOT NULL)
+SELECT form.word, form.n, form.n_near, form.form, form.form_n, walk.at AS root
+FROM form JOIN walk USING (word) JOIN form AS z ON z.word = walk.at WHERE z.form IS NULL
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus with their near words and the form that they are probably variants of."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
