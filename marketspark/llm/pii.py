@@ -5,7 +5,8 @@ numbers and persons after a form of address. Every distinct value gets one surro
 from a keyed hash, of the same type: the shape of letters, digits and separators is kept,
 card numbers keep a valid check digit, names keep script, gender and capitals. Equal
 values therefore stay equal everywhere (coreference). Surrogates that meet another one
-or a real value of the corpus are drawn again until all are distinct.
+or a real value of the corpus are drawn again; the few that a full space leaves trade
+places, so all are distinct.
 
 DataFrame functions only. Distinct values combine before the shuffle, so a value that
 stands in a third of the texts is one row; only texts with personal data are joined to
@@ -18,10 +19,14 @@ table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from marketspark.operators.ranking import ranked_rows
 from marketspark.session import stage
 
 # Fixed forms of address, by gender.
@@ -31,9 +36,9 @@ ADDRESS = {
 }
 #: First letters of the forms of address, so that the pattern is not tried elsewhere.
 INITIALS = "".join(sorted({form[0] for forms in ADDRESS.values() for form in forms.split("|")}))
-#: Patterns in order of preference.
+#: Patterns in order of preference. Only single characters repeat without a bound: Java matches a repeated group by recursion.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "card": r"(?<![\d+])(?:\d{4}(?:[ -]?\d{4}){3}|\d{13,19})(?!\d)",
@@ -52,6 +57,7 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "rik", "f": "nia", "n": "lin"}, "cyrillic": {"m": "рик", "f": "ния", "n": "лин"}, "greek": {"m": "νος", "f": "νια", "n": "λιν"}}
 NUMBERS = ("card", "ssn", "phone")
+ROUNDS = (1, 4, 16, 64)  # draws of each round
 
 
 def _digits(value: Column) -> Column:
@@ -96,9 +102,17 @@ def _byte(stream: Column, i: Column | int) -> Column:
     return F.conv(F.substr(stream, F.pmod(at, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda within refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _shaped(value: Column, stream: Column, kept: int = 0) -> Column:
     """``value`` with letters and digits drawn anew beyond the first ``kept`` characters."""
+    return _let(stream, lambda drawn: _drawn_anew(value, drawn, kept))
 
+
+def _drawn_anew(value: Column, stream: Column, kept: int) -> Column:
     def one(c: Column, i: Column) -> Column:
         def pick(symbols: str) -> Column:
             return F.substr(F.lit(symbols), F.pmod(_byte(stream, i), F.lit(len(symbols))) + 1, F.lit(1))
@@ -160,22 +174,54 @@ def surrogate(key: str, kind: Column, canon: Column, known: Column, attempt: Col
     )
 
 
-def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, surrogate): one surrogate per value; those that meet another or a real value are drawn again."""
+def _kind_of_shape(kind: Column, canon: Column, known: Column) -> Column:
+    """What a surrogate must keep: type, gender, script and the places of digits and letters."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    script = F.when(F.rlike(canon, F.lit(r"\p{IsCyrillic}")), "c").when(F.rlike(canon, F.lit(r"\p{IsGreek}")), "g").otherwise("l")
+    return F.concat_ws("|", kind, F.coalesce(known, F.lit("-")), F.when(kind == "person", F.concat(script, F.contains(canon, F.lit(" ")).cast("string"))).otherwise(shape))
+
+
+def _exchanged(left: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, surrogate) where a space is all but full: values of one shape trade places in a keyed order.
+
+    Each takes the next one's value, so surrogates are distinct and differ from those
+    drawn, none of which is a real value. A value alone in its shape gets sixteen digits more.
+    """
+    kind, canon, known = F.col("kind"), F.col("canon"), F.col("known")
+    placed = left.select("kind", "canon", "known", _kind_of_shape(kind, canon, known).alias("shape"), _stream(key, F.lit("order"), kind, canon).alias("order"))
+    numbered = stage(ranked_rows(placed, ["shape"], ["order", "canon"], "nth", "n"))
+    after = numbered.select(F.col("shape").alias("_shape"), F.col("nth").alias("_nth"), F.col("canon").alias("_next"))
+    met = numbered.join(after, (F.col("shape") == F.col("_shape")) & (F.col("nth") % F.col("n") + 1 == F.col("_nth")))
+    digits = F.concat(*[F.pmod(_byte(F.col("order"), i), F.lit(10)).cast("string") for i in range(16)])
+    drawn = surrogate(key, kind, canon, known, F.lit(0))
+    longer = F.when(kind == "email", F.concat(F.substring_index(drawn, "@", 1), digits, F.lit("@"), F.substring_index(drawn, "@", -1))).otherwise(F.concat(drawn, digits))
+    return met.select("kind", "canon", F.when(F.col("n") > 1, F.col("_next")).otherwise(longer).alias("surrogate"))
+
+
+def distinct_surrogates(values: DataFrame, key: str, rounds: Sequence[int] = ROUNDS) -> DataFrame:
+    """(kind, canon, surrogate): one surrogate per value, no two alike.
+
+    A draw that meets another surrogate or a real value does not count; each of
+    ``rounds`` draws so often. What is left stands in a space that is all but full, as
+    that of five-digit numbers that all occur, and trades places there: only then is a
+    surrogate the real value of another.
+    """
     real = values.select(F.col("kind").alias("_kind"), F.col("canon").alias("_real"))
-    pending, accepted, attempt = values, None, 0
-    while True:
-        drawn = pending.select("kind", "canon", "known", surrogate(key, F.col("kind"), F.col("canon"), F.col("known"), F.lit(attempt)).alias("surrogate"))
-        taken = real if accepted is None else real.unionByName(accepted.select(F.col("kind").alias("_kind"), F.col("surrogate").alias("_real")))
-        marked = drawn.join(taken.distinct(), (F.col("kind") == F.col("_kind")) & (F.col("surrogate") == F.col("_real")), "left")
-        first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("canon")) == 1
-        marked = stage(marked.withColumn("fits", first & F.col("_real").isNull()))
-        fits = marked.where("fits").select("kind", "canon", "surrogate")
-        accepted = fits if accepted is None else accepted.unionByName(fits)
-        pending = marked.where("NOT fits").select("kind", "canon", "known")
+    pending, accepted, before = values, [], 0
+    for draws in rounds:
+        tries = pending.withColumn("attempt", F.explode(F.sequence(F.lit(before), F.lit(before + draws - 1))))
+        drawn = tries.select("kind", "canon", "attempt", surrogate(key, F.col("kind"), F.col("canon"), F.col("known"), F.col("attempt")).alias("surrogate"))
+        taken = reduce(DataFrame.unionByName, [real, *(a.select(F.col("kind").alias("_kind"), F.col("surrogate").alias("_real")) for a in accepted)])
+        free = drawn.join(taken, (F.col("kind") == F.col("_kind")) & (F.col("surrogate") == F.col("_real")), "left_anti")
+        first = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("canon", "attempt"))
+        won = free.withColumn("first", first).where("first = 1").groupBy("kind", "canon").agg(F.min_by("surrogate", "attempt").alias("surrogate"))
+        accepted.append(stage(won))
+        got = accepted[-1].select(F.col("kind").alias("_kind"), F.col("canon").alias("_canon"))
+        pending = stage(pending.join(got, (F.col("kind") == F.col("_kind")) & (F.col("canon") == F.col("_canon")), "left_anti"))
+        before += draws
         if pending.isEmpty():
-            return accepted
-        attempt += 1
+            return reduce(DataFrame.unionByName, accepted)
+    return reduce(DataFrame.unionByName, [*accepted, _exchanged(pending, key)])
 
 
 def spelled(kind: Column, surface: Column, replacement: Column) -> Column:
