@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.llm.text import LOWER, as_bytes, map_batches, schema_of, shingles, word_lists
+from marketspark.llm.text import LOWER, as_bytes, free_name, map_batches, schema_of, shingles, word_lists
 from marketspark.session import bounded_broadcast, stage
 
 WIDTH = 5
@@ -139,7 +139,7 @@ def contained_items(
 
 def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item; columns stay as they are."""
-    found = stage(contained_items(docs, items, threshold=threshold).select(F.col("doc").alias("_held_doc"), F.col("digest").alias("_held_digest")).distinct())
-    return docs.join(
-        bounded_broadcast(found), F.col("doc_id").eqNullSafe(F.col("_held_doc")) & (F.sha2(F.col("text").cast("string"), 256) == F.col("_held_digest")), "left_anti"
-    )
+    doc, digest = free_name(docs, "_held_doc"), free_name(docs, "_held_digest")
+    found = stage(contained_items(docs, items, threshold=threshold).select(F.col("doc").alias(doc), F.col("digest").alias(digest)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.sha2(F.col("text").cast("string"), 256) == F.col(digest))
+    return docs.join(bounded_broadcast(found), same, "left_anti")

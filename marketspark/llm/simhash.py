@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from marketspark.llm.decontamination import shingle_hashes
-from marketspark.llm.text import LOWER, as_bytes, map_batches, schema_of, shingles, word_lists
+from marketspark.llm.text import LOWER, as_bytes, free_name, map_batches, schema_of, shingles, word_lists
 from marketspark.operators.graph import connected_components
 from marketspark.session import bounded_broadcast, stage
 
@@ -36,7 +36,8 @@ MAX_RADIUS = 3
 REACH = 16
 SAMPLE_ROWS = 2048
 BLOCK = 256  # texts compared with each other in one place
-SAMPLE_TEXTS, CROWDED, HELD_BACK, ROUNDS, WASTE = 4096, 32, 100_000, 3, 64  # which shingles stand last in the exact search; cost only
+SAMPLE_TEXTS, SAMPLE_PART, HELD_BACK = 4096, 64, 100_000  # which shingles stand last in the exact search: cost only
+CROWDED = 1024  # texts of one hash that meet all its others in one place
 PROBE_COST, CANDIDATE_COST = 1.0, 0.05  # a probe row is shuffled, a candidate only compared
 
 
@@ -359,10 +360,15 @@ def _alike(members: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFram
     return connected_components(links.unionByName(_spanning_links(asked, grams, min_jaccard)), "a", "b")
 
 
-def _hash_counts(rows: DataFrame, limit: int, least: int) -> np.ndarray:
-    """The ``limit`` most frequent hashes of ``rows`` that occur ``least`` times or more."""
-    found = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(limit).collect()
-    return np.unique(np.array([r.gram for r in found], dtype=np.int64).view(np.uint64))
+def _frequent(sample: DataFrame, width: int) -> np.ndarray:
+    """The shingle hashes that several texts of ``sample`` hold, the ``HELD_BACK`` most frequent at most."""
+
+    def hashes(batch):
+        return [np.concatenate([shingle_hashes(t, width) for t in as_bytes(batch.column(0))] or [np.zeros(0, dtype=np.uint64)]).view(np.int64)]
+
+    counts = map_batches(sample, schema_of(("gram", T.LongType())), hashes).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where("n > 1").orderBy(F.desc("n"), "gram").limit(HELD_BACK).select("gram").toArrow()
+    return np.unique(found.column(0).to_numpy().view(np.uint64))
 
 
 def _prefixes(source: DataFrame, last: np.ndarray, min_jaccard: float, width: int) -> DataFrame:
@@ -390,36 +396,29 @@ def _prefixes(source: DataFrame, last: np.ndarray, min_jaccard: float, width: in
 def _missed_pairs(source: DataFrame, clusters: DataFrame, texts: int, min_jaccard: float, width: int) -> DataFrame:
     """(a, b): texts of different clusters whose prefixes meet; holds every such pair as similar as ``min_jaccard``.
 
-    A hash that only one cluster holds makes no pair, so a dense group that is joined
-    already costs nothing. If hashes of many texts would make more than ``WASTE`` pairs a
-    text, they are moved behind all others and prefixes are made again.
+    The prefixes are dealt out by hash once, four longs a row. A hash that only one
+    cluster holds makes no pair, so a dense group that is joined already costs nothing.
+    Hashes that a sample shows to be frequent stand last in the order and so seldom in a
+    prefix; what many texts still share is split into blocks.
     """
-    def hashes(batch):
-        return [np.concatenate([shingle_hashes(t, width) for t in as_bytes(batch.column(0))] or [np.zeros(0, dtype=np.uint64)]).view(np.int64)]
-
-    sample = source.where(F.pmod("h", F.lit(max(1, texts // SAMPLE_TEXTS))) == 0).dropDuplicates(["h"]).select("text")
-    last = _hash_counts(map_batches(sample, schema_of(("gram", T.LongType())), hashes), HELD_BACK, 2)
-    named = bounded_broadcast(clusters.select(F.col("node").alias("_node"), "component"))
-    for left in reversed(range(ROUNDS)):
-        made = stage(_prefixes(source, last, min_jaccard, width))
-        held = made.join(named, F.col("key") == F.col("_node"), "left").select(
-            "key", "size", F.xxhash64(F.coalesce("component", "key")).alias("home"), F.posexplode("grams").alias("at", "gram")
-        )
-        shared = stage(held.groupBy("gram").agg(F.min("home").alias("one"), F.max("home").alias("other")).where("one <> other").select(F.col("gram").alias("_gram")))
-        met = stage(held.join(bounded_broadcast(shared), F.col("gram") == F.col("_gram")).select("gram", "key", "size", "home", "at").distinct())
-        each = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
-        if not left or (each.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0) <= WASTE * texts:
-            break
-        crowded = np.setdiff1d(_hash_counts(met, HELD_BACK, CROWDED + 1), last)
-        if not len(crowded):
-            break
-        last = np.union1d(last, crowded)
-    a, b = (met.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "home", "at")]) for side in "ab")
+    sample = source.where(F.pmod("h", F.lit(max(1, min(texts // SAMPLE_TEXTS, SAMPLE_PART)))) == 0).dropDuplicates(["h"]).select("text")
+    made = _prefixes(source, _frequent(sample, width), min_jaccard, width).dropDuplicates(["key"])
+    named = clusters.select(F.col("node").alias("_node"), "component")
+    placed = F.shiftleft("size", 32).bitwiseOR(F.col("at").cast("long"))
+    rows = made.join(named, F.col("key") == F.col("_node"), "left").select(
+        F.xxhash64("key").alias("text"), F.xxhash64(F.coalesce("component", "key")).alias("home"), "size", F.posexplode("grams").alias("at", "gram")
+    ).select("gram", "text", "home", placed.alias("place")).repartition("gram")
+    shared = rows.groupBy("gram").agg(F.min("home").alias("one"), F.max("home").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other")
+    blocks = F.ceil(F.col("n") / CROWDED).alias("blocks")
+    met = stage(rows.join(shared.select(F.col("gram").alias("_gram"), blocks).hint("shuffle_hash"), F.col("gram") == F.col("_gram")).drop("_gram"))
+    each = met.select("gram", "blocks", "text", "home", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"))
+    block = {"a": F.pmod("text", F.col("blocks")), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))}
+    a, b = (each.select("gram", block[side].alias("block"), *[F.col(c).alias(f"{c}_{side}") for c in ("text", "home", "size", "at")]) for side in "ab")
     larger, smaller = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
-    # from the first hash that two texts share on, both must hold what they need to share
+    # the first hash that two texts share: both must hold from it on what they need to share, and what stands before it is not shared
     rest, needed = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")), min_jaccard / (1 + min_jaccard) * (larger + smaller)
-    near = (F.col("key_a") < F.col("key_b")) & (F.col("home_a") != F.col("home_b")) & (smaller >= min_jaccard * larger - 1e-6) & (rest >= needed - 1e-6)
-    return a.join(b, "gram").where(near).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    near = (F.col("text_a") < F.col("text_b")) & (F.col("home_a") != F.col("home_b")) & (smaller >= min_jaccard * larger - 1e-6) & (rest >= needed - 1e-6)
+    return a.join(b, ["gram", "block"]).where(near).select("text_a", "text_b").distinct()
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFrame:
@@ -480,7 +479,9 @@ def without_near_duplicates(
         )
 
     clusters = stage(_alike(members, grams_of(members), min_jaccard).select("node", "component"))
-    pairs = stage(_missed_pairs(source, clusters, texts.count(), min_jaccard, width))
+    keys = texts.select(F.xxhash64("key").alias("text"), "key")
+    a, b = (keys.select(F.col("text").alias(f"text_{side}"), F.col("key").alias(side)) for side in "ab")
+    pairs = stage(_missed_pairs(source, clusters, texts.count(), min_jaccard, width).join(a, "text_a").join(b, "text_b").select("a", "b"))
     asked = texts.join(bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "key", "left_semi")
     links = stage(_verified(pairs, grams_of(asked), min_jaccard))
     if not links.isEmpty():
@@ -490,11 +491,12 @@ def without_near_duplicates(
     kept = grouped.select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"), F.lit(True).alias("_kept"))
     counted = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
     told = counted.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    exceptions = stage(told.where("_kept IS NULL OR n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("_kept").isNull().alias("_gone")))
+    id_name, h_name = free_name(docs, "_id"), free_name(docs, "_h")
+    exceptions = stage(told.where("_kept IS NULL OR n > 1").select(F.col("id").alias(id_name), F.col("h").alias(h_name), F.col("_kept").isNull().alias("_gone")))
 
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
-    single = docs.join(bounded_broadcast(exceptions), same, "left_anti")
-    repeated = exceptions.where("NOT _gone")
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64(text) == F.col(h_name))
+    single = docs.join(bounded_broadcast(exceptions.drop("_gone")), same, "left_anti")
+    repeated = exceptions.where("NOT _gone").drop("_gone")
     if repeated.isEmpty():
         return single
     return single.unionByName(docs.join(bounded_broadcast(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
