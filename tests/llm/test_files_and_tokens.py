@@ -195,7 +195,7 @@ def test_round_trip_of_odd_documents(spark, odd_docs, no_docs, vocabulary):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["op1_warc", "op2_quality_rules", "op3_decontamination"])
+@pytest.mark.parametrize("name", ["op1_warc", "op2_quality_rules", "op3_decontamination", "op11_line_dedup", "op12_merkle_manifest", "op13_spelling_variants"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
@@ -210,7 +210,7 @@ def test_query_matches_sql(spark, name):
 @needs_tables
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @needs_tables
@@ -230,7 +230,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 def test_stages_take_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
     spark.createDataFrame([(1, "an item that no text has anywhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (odd_docs, no_docs):
+    clash = odd_docs.withColumns({c: F.lit("x") for c in ("_id", "_h", "_gone", "_held_doc", "base", "fp", "key")})
+    for docs in (odd_docs, no_docs, clash):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             left = stage(spark, docs, str(tmp_path))
             assert k == 4 or left.columns == docs.columns

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from marketspark.llm import decontamination, language_id, pii, quality_model, quality_rules, secret_scan, simhash
 from marketspark.llm.text import shingles, word_lists
 
@@ -173,6 +175,23 @@ def test_every_similar_pair_is_joined_at_the_defaults(spark):
     assert sorted(r.doc_id for r in simhash.without_near_duplicates(df).collect()) == sorted({root(i) for i in sets})
 
 
+def test_hot_hashes_are_split_into_blocks(spark, monkeypatch):
+    """More texts share hashes than meet in one place, and no order of the hashes avoids them."""
+    monkeypatch.setattr(simhash, "CROWDED", 4)
+    monkeypatch.setattr(simhash, "HELD_BACK", 1)
+    rng = random.Random(33)
+    shared = [f"s{i}" for i in range(60)]
+    texts = [shared + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 40))] for _ in range(50)]
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in texts]
+    want = {(a, b) for a, b in combinations(range(50), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    source = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "id long, h long, text string")
+    clusters = spark.createDataFrame([], "node string, component string")
+    found = simhash._missed_pairs(source, clusters, 50, 0.8, 5)
+    names = {r.text: r.i for r in spark.createDataFrame([(i, simhash._normal_key(" ".join(t).encode())) for i, t in enumerate(texts)], "i long, key string").select("i", F.xxhash64("key").alias("text")).collect()}
+    got = {tuple(sorted((names[r.text_a], names[r.text_b]))) for r in found.collect()}
+    assert want and want <= got
+
+
 # --- decontamination
 
 
@@ -347,6 +366,77 @@ def test_surrogates_that_collide_are_drawn_again(spark):
     assert not {r.surrogate for r in got} & {r.canon for r in got}
 
 
+@pytest.mark.parametrize("known", [10_000, 9_990])
+def test_a_full_space_of_numbers_trades_places(spark, known):
+    """All, or all but ten, five-digit numbers of one first digit are real: the draws end, and every number gets another one."""
+    values = spark.range(known).selectExpr("'phone' AS kind", "concat('7', lpad(cast(id as string), 4, '0')) AS canon", "cast(null as string) AS known")
+    got = pii.distinct_surrogates(values, "key", rounds=(1, 2)).collect()
+    assert len(got) == len({r.canon for r in got}) == len({r.surrogate for r in got}) == known
+    assert all(r.surrogate != r.canon and len(r.surrogate) == 5 and r.surrogate[0] == "7" for r in got)
+
+
+def test_a_value_alone_in_its_shape_gets_more_digits(spark):
+    values = spark.createDataFrame([("email", "_@a.b", None), ("email", "_@c.d", None)], "kind string, canon string, known string")
+    left = pii._exchanged(values.where("canon = '_@a.b'"), "key").collect()
+    assert re.fullmatch(r"_\d{16}@[a-z]\.example", left[0].surrogate)
+
+
+@pytest.mark.parametrize("text", [
+    "a@" + "b." * 500_000 + "c", "a@" + "b-" * 500_000, "a" * 1_000_000 + "@b.c", "@" * 1_000_000, "a." * 500_000, "a@b" + "." * 1_000_000,
+    "1" * 1_000_000, "1." * 500_000, "+1 " * 300_000, "1234 " * 200_000, "DE12" + " ABCD" * 200_000, "Mr. " + "A" * 1_000_000, "Mr. A" + "-" * 1_000_000, "Mr " * 300_000,
+], ids=range(14))
+def test_a_megabyte_of_every_repeated_part(spark, text):
+    rows = [(1, text), (2, "mail x@y.example please")]
+    got = {r.doc_id: r for r in pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert got[2].n_entities == 1 and got[1].text is not None
+
+
+def plain_entities(text):
+    """(kind, mention) from left to right by the same patterns in another engine."""
+    import regex
+
+    every = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()))
+    return [(m.lastgroup, m[0]) for m in every.finditer(text)]
+
+
+def test_replacements_equal_a_plain_find_and_replace(spark):
+    """What is found, that equal values share a surrogate, and that all else stays, against a plain version."""
+    rng = random.Random(17)
+
+    def value():
+        return rng.choice([
+            lambda: f"u{rng.randint(0, 9)}.x@mail{rng.randint(0, 3)}.co.uk", lambda: f"U{rng.randint(0, 9)}.X@mail1.co.uk", lambda: f"10.0.{rng.randint(0, 3)}.{rng.randint(0, 9)}",
+            lambda: f"{rng.randint(100, 110)}-12-3456", lambda: f"+1 017 555 {rng.randint(7000, 7020)}", lambda: f"+1 (017) 555-{rng.randint(7000, 7020)}", lambda: "4111 1111 1111 1111",
+            lambda: "Mrs " + rng.choice(["Anna Jones", "ANNA JONES", "Eva Smith"]), lambda: "Herr " + rng.choice(["Otto", "Karl Weiss"]), lambda: "plain words", lambda: "v1.2.3",
+        ])()
+
+    rows = [(i, "; ".join(value() for _ in range(rng.randint(0, 8))) + rng.choice(["", ".", "\n"])) for i in range(120)]
+    got = {r.doc_id: r for r in pii.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+
+    def canon(kind, mention):
+        if kind in pii.NUMBERS:
+            return re.sub(r"\D", "", mention)
+        return re.sub("^(?:" + "|".join(pii.ADDRESS.values()) + r")\.? ", "", mention).lower() if kind == "person" else mention.lower()
+
+    told, back = {}, {}
+    for i, text in rows:
+        found = plain_entities(text)
+        assert got[i].n_entities == len(found)
+        rest, out = text, got[i].text
+        for kind, mention in found:
+            before, rest = rest.split(mention, 1)
+            assert out.startswith(before)
+            out = out[len(before):]
+            after = re.split(r"; |[.]?\n?$", rest, maxsplit=1)[0]
+            end = out.index("; ") if "; " in out and rest else len(out) - len(rest)
+            surrogate = out[:end] if rest.startswith("; ") or not rest else out[: len(out) - len(rest)]
+            out, key = out[len(surrogate):], (kind, canon(kind, mention))
+            assert told.setdefault(key, canon(kind, surrogate)) == canon(kind, surrogate) != key[1], (mention, surrogate, after)
+            assert back.setdefault((kind, canon(kind, surrogate)), key) == key
+        assert out == rest
+    assert len(told) > 40
+
+
 # --- secrets
 
 
