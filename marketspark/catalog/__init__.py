@@ -4,7 +4,7 @@ from importlib import import_module
 
 from marketspark.catalog import registry
 
-_MODULES = ("functions", "joins", "aggregates", "windows", "prices", "actions", "research", "shares", "sources")
+_MODULES = ("functions", "joins", "aggregates", "windows", "prices", "actions", "research", "shares", "sources", "rebuild")
 
 
 def load() -> None:

@@ -271,28 +271,6 @@ def _(v):
     return A.extreme_return_diagnostic(comparison(v)).select("security_id", "date", "diagnostic_class", "price_level_diagnostic")
 
 
-_SC = ["security_id", "ticker", "date", "provider_raw_return", "provider_adjusted_return", "daily_split_ratio", "provider_split_date", "provider_split_ratio", "day_distance", "split_comparison_status"]
-
-
-@query("tb43_candidate_split_comparison", f"SELECT {', '.join(_SC)} FROM y_split_check", doubles="provider_raw_return provider_adjusted_return daily_split_ratio provider_split_ratio", ints="day_distance")
-def _(v):
-    return A.candidate_split_comparison(diagnostics(v), v.validation_requests, v.validation_splits).select(*_SC)
-
-
-@query("tb44_split_backfill_validation", """SELECT security_id, date, (1 + provider_raw_return) * provider_split_ratio - 1 AS counterfactual_return_with_provider_split, abs((1 + provider_raw_return) * provider_split_ratio - 1 - provider_adjusted_return) AS adjusted_return_abs_error,
-    COALESCE(split_comparison_status = 'exact_date_ratio_conflict' AND abs(daily_split_ratio - 1) < 1e-12 AND abs((1 + provider_raw_return) * provider_split_ratio - 1 - provider_adjusted_return) < 1e-6, FALSE) AS exact_date_missing_split_validated FROM y_split_check""", doubles="counterfactual_return_with_provider_split adjusted_return_abs_error")
-def _(v):
-    rows = A.split_backfill_validation(A.candidate_split_comparison(diagnostics(v), v.validation_requests, v.validation_splits))
-    return rows.select("security_id", "date", "counterfactual_return_with_provider_split", "adjusted_return_abs_error", "exact_date_missing_split_validated")
-
-
-@query("tb45_split_backfill", """SELECT security_id, ticker, date AS split_date, provider_split_ratio AS split_ratio FROM y_split_check
-    WHERE split_comparison_status = 'exact_date_ratio_conflict' AND abs(daily_split_ratio - 1) < 1e-12 AND abs((1 + provider_raw_return) * provider_split_ratio - 1 - provider_adjusted_return) < 1e-6""", doubles="split_ratio")
-def _(v):
-    rows = A.split_backfill_validation(A.candidate_split_comparison(diagnostics(v), v.validation_requests, v.validation_splits))
-    return A.automatic_split_backfill(rows).select("security_id", "ticker", "split_date", "split_ratio")
-
-
 CHECKS["y_price_fix"] = """SELECT DISTINCT security_id, ticker, CASE WHEN en <= 0.01 AND ep > 0.1 THEN previous_date ELSE date END AS correction_date, CASE WHEN en <= 0.01 AND ep > 0.1 THEN 'bad_previous_good_current' ELSE 'good_previous_bad_current' END AS correction_reason FROM (
     SELECT r.security_id, r.ticker, r.date, r.previous_date, abs(n.close / r.close - 1) AS en, abs(b.close / r.previous_close - 1) AS ep FROM y_return r JOIN validation_bars n ON n.ticker = r.ticker AND n.date = r.date JOIN validation_bars b ON b.ticker = r.ticker AND b.date = r.previous_date
     WHERE r.research_eligible AND abs(r.price_return) > 1 AND abs(r.gross_total_return) > 1 AND abs(n.close / b.close - 1) <= 1) p WHERE (en <= 0.01 AND ep > 0.1) OR (ep <= 0.01 AND en > 0.1)"""
@@ -313,27 +291,3 @@ def _(v):
     CASE WHEN final_research_eligible THEN exp(sum(CASE WHEN final_research_eligible THEN ln(1 + gross_total_return) END) OVER w) END AS gross_total_return_index FROM y_segment WINDOW w AS (PARTITION BY security_id, return_segment_id ORDER BY date)""", doubles="gross_total_return cumulative_gtr_log gross_total_return_index", ints="return_segment_id")
 def _(v):
     return R.total_return_index(research(v))
-
-
-@query("tb80_rebuild", """SELECT 'security_daily_return' AS table_name, count(*) AS rows, count(DISTINCT security_id) AS entities FROM y_return UNION ALL SELECT 'security_gtr_index', count(*), count(DISTINCT security_id) FROM y_research
-    UNION ALL SELECT 'research_feature_label_model', count(*), count(DISTINCT security_id) FROM y_research WHERE final_research_eligible""", ints="rows entities")
-def _(v):
-    from uuid import uuid4
-
-    from marketspark.operators.quality import table_counts
-    from marketspark.plans.rebuild import rebuild
-    from marketspark.session import ensure_checkpoint_dir
-
-    folder = f"{ensure_checkpoint_dir(v.spark)}/rebuild-{uuid4().hex}"
-    prices = v.priced.withColumns({"reconciliation_status": F.lit("native"), "observation_type": F.lit("native")})
-    none = v.validation_bars.limit(0)
-    inputs = {
-        "security_daily_ohlcv": prices, "trading_calendar": v.sessions, "security_split_event": events(v), "corporate_action_override": overrides(v),
-        "security_dividend_candidate": dividend_rows(v), "automatic_dividend_correction": A.dividend_corrections(v.dividend_validation),
-        "automatic_price_correction": none.select(F.lit(0).cast("long").alias("security_id"), F.col("date").alias("correction_date"), "open", "high", "low", "close", "volume", "provider_symbol"),
-        "automatic_split_backfill": none.select(F.lit(0).cast("long").alias("security_id"), F.col("date").alias("split_date"), F.col("close").alias("split_ratio")),
-        "extreme_return_diagnostic": diagnostics(v), "security_master": v.bars.select("security_id").distinct(),
-        "research_universe_eligibility": prices.select("security_id", "date", F.lit(True).alias("primary_research_eligible_broad"), F.lit(True).alias("primary_research_eligible_exchange")),
-    }
-    tables = rebuild(inputs, folder)
-    return table_counts({n: tables[n] for n in ("security_daily_return", "security_gtr_index", "research_feature_label_model")}, "security_id")

@@ -181,8 +181,7 @@ def _(v):
     WHERE NOT EXISTS (SELECT 1 FROM s n WHERE n.ticker = s.ticker AND n.filing_date > s.filing_date AND n.usable <= b.date)""")
 def _(v):
     sources = v.filings.select("ticker", "filing_date", F.date_add("filing_date", 7).alias("usable"))
-    pairs = J.band_join(v.bars, sources, ["ticker"], "date", "filing_date", 365, 0).where("date >= usable")
-    kept = J.latest_available_source(pairs, sources, ["ticker"], "date", "filing_date", "usable")
+    kept = J.latest_available_source(v.bars, sources, ["ticker"], "date", "filing_date", "usable", 365)
     return kept.select("security_id", "date", "filing_date")
 
 

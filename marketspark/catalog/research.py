@@ -14,6 +14,7 @@ from marketspark.plans import metrics as M
 from marketspark.plans import models as L
 from marketspark.plans import research as R
 from marketspark.plans.returns import total_return_index
+from marketspark.session import ensure_checkpoint_dir
 
 TRAIN, VALID = "1998-12-31", "2000-06-30"
 
@@ -151,7 +152,7 @@ def _(v):
 
 
 def _quotas(v, total):
-    return R.year_quotas([tuple(r) for r in R.candidate_counts(pool(v)).collect()], total)  # one row per year
+    return R.year_quotas(R.candidate_counts(pool(v)), total)
 
 
 _QUOTA = """WITH RECURSIVE c AS (SELECT EXTRACT(YEAR FROM date) AS y, count(*) AS n FROM z_pool GROUP BY 1), level AS (SELECT max(k) AS k FROM range(0, 100000) t(k) WHERE (SELECT sum(least(n, k)) FROM c) <= least(600, (SELECT sum(n) FROM c))),
@@ -161,7 +162,7 @@ _QUOTA = """WITH RECURSIVE c AS (SELECT EXTRACT(YEAR FROM date) AS y, count(*) A
 
 @query("rs9_year_quotas", _QUOTA, ints="calendar_year quota")
 def _(v):
-    return v.spark.createDataFrame(list(_quotas(v, 600).items()), "calendar_year long, quota long")
+    return _quotas(v, 600)
 
 
 @query("rs10_hash_sample", f"""WITH RECURSIVE quotas AS ({_QUOTA.replace('WITH RECURSIVE', 'WITH', 1)}) SELECT p.* FROM (SELECT *, row_number() OVER (PARTITION BY EXTRACT(YEAR FROM date) ORDER BY md5(security_id || '|' || date || '|seed|5'), security_id, date) AS i FROM z_pool) p JOIN quotas q ON q.calendar_year = EXTRACT(YEAR FROM p.date) WHERE i <= quota"""
@@ -170,9 +171,25 @@ def _(v):
     return R.hash_sample(pool(v), _quotas(v, 600), 5, "seed")
 
 
-@query("rs11_sample_summary", "SELECT count(*) AS rows, count(DISTINCT security_id) AS securities, min(date) AS min_date, max(date) AS max_date, avg(target) AS positive_rate FROM z_pool", ints="rows securities", doubles="positive_rate")
+CHECKS["z_quota"] = _QUOTA.replace("WITH RECURSIVE", "WITH", 1)
+CHECKS["z_sample"] = """SELECT p.* EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY EXTRACT(YEAR FROM date) ORDER BY md5(security_id || '|' || date || '|seed|5'), security_id, date) AS i FROM z_pool) p
+    JOIN z_quota q ON q.calendar_year = EXTRACT(YEAR FROM p.date) WHERE i <= quota"""
+
+
+@query("rs11_sample_summary", "SELECT count(*) AS rows, count(DISTINCT security_id) AS securities, min(date) AS min_date, max(date) AS max_date, avg(target) AS positive_rate FROM z_sample", ints="rows securities", doubles="positive_rate")
 def _(v):
-    return R.sample_summary(pool(v))
+    return R.sample_summary(R.hash_sample(pool(v), _quotas(v, 600), 5, "seed"))
+
+
+@query("rs11_sample_manifest", """SELECT c.y AS calendar_year, c.n AS candidate_rows, COALESCE(q.quota, 0) AS quota, COALESCE(s.n, 0) AS rows, COALESCE(s.e, 0) AS securities, s.a AS min_date, s.b AS max_date, s.r AS positive_rate
+    FROM (SELECT EXTRACT(YEAR FROM date) AS y, count(*) AS n FROM z_pool GROUP BY 1) c LEFT JOIN z_quota q ON q.calendar_year = c.y
+    LEFT JOIN (SELECT EXTRACT(YEAR FROM date) AS y, count(*) AS n, count(DISTINCT security_id) AS e, min(date) AS a, max(date) AS b, avg(target) AS r FROM z_sample GROUP BY 1) s ON s.y = c.y""",
+       ints="calendar_year candidate_rows quota rows securities", doubles="positive_rate")
+def _(v):
+    from uuid import uuid4
+
+    stored = R.export_sample(pool(v), f"{ensure_checkpoint_dir(v.spark)}/sample-{uuid4().hex}", 600, 5, "seed")
+    return stored.drop("dataset", "horizon", "sampling_seed", "features")
 
 
 CHECKS["q_rank"] = "SELECT *, rank() OVER (ORDER BY probability) + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS r FROM scores"
@@ -368,18 +385,59 @@ def _(v):
     return L.base_rate(rows.where(_CUT), rows.where(f"NOT ({_CUT})")).select("security_id", "date", "predicted_probability")
 
 
+CHECKS["z_pool_validation"] = CHECKS["z_pool"].replace("split_5d = 'train'", "split_5d = 'validation'")
+
+
+def _fitted(v, name, fit):
+    """Predictions of a model on the validation pool, and what holds for it, fitted on the whole feature table."""
+    train, validation = pool(v), pool(v, "validation")
+    L.validate_sample(train, R.FEATURES, "1900-01-01", TRAIN)
+    L.validate_sample(validation, R.FEATURES, TRAIN, VALID)
+    model = v.keep_object(name, lambda: fit(train))
+    return L.predict(model, validation), L.predict(model, train)
+
+
+def _invariants(v, scored, fitted):
+    """Rows scored, probabilities within 0 and 1, and whether the fit beats the base rate on its own rows."""
+    p, y = F.col("predicted_probability"), F.col("target").cast("double")
+
+    def loss(q):
+        return F.avg(-(y * F.ln(q) + (1 - y) * F.ln(1 - q)))
+
+    priced = fitted.withColumn("prior", fitted.agg(F.avg(y)).scalar())
+    better = priced.agg(loss(F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))) <= loss(F.col("prior"))).scalar()
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(p.between(0, 1)).alias("probabilities")).withColumn("beats_base_rate", better)
+
+
+_FIT = "SELECT count(*) AS rows, count(*) AS probabilities, TRUE AS beats_base_rate FROM z_pool_validation"
+
+
+def _logistic(v):
+    return _fitted(v, "logistic", lambda train: L.fit_logistic(train, R.FEATURES))
+
+
+def _boosted(v):
+    return _fitted(v, "boosted", lambda train: L.fit_gbt(train, R.FEATURES))
+
+
 @query("ml2_logistic")
 def _(v):
-    rows = _ml_rows(v)
-    fitted = L.fit_logistic(rows.where(_CUT), ["level", "season"])
-    return L.predict(fitted, rows.where(f"NOT ({_CUT})")).select("security_id", "date", "predicted_probability")
+    return _logistic(v)[0].select("security_id", "date", "predicted_probability")
+
+
+@query("ml2_logistic_fit", _FIT, ints="rows probabilities")
+def _(v):
+    return _invariants(v, *_logistic(v))
 
 
 @query("ml3_boosted_trees")
 def _(v):
-    rows = _ml_rows(v)
-    fitted = L.fit_gbt(rows.where(_CUT), ["level", "season"], max_iter=10)
-    return L.predict(fitted, rows.where(f"NOT ({_CUT})")).select("security_id", "date", "predicted_probability")
+    return _boosted(v)[0].select("security_id", "date", "predicted_probability")
+
+
+@query("ml3_boosted_fit", _FIT, ints="rows probabilities")
+def _(v):
+    return _invariants(v, *_boosted(v))
 
 
 @query("ml4_prediction_frame", f"SELECT security_id, date, CAST(security_id AS VARCHAR) AS ticker, target_end_date, 'base_rate' AS model, 5 AS horizon, 'validation' AS sample, target, forward_relative_return, (SELECT avg(target) FROM signals WHERE {_CUT}) AS predicted_probability FROM signals WHERE NOT ({_CUT})", doubles="forward_relative_return predicted_probability")

@@ -249,6 +249,24 @@ VIEWS: dict[str, str] = {
         FROM vendor_bars""",
     "validation_splits": """
         SELECT provider_symbol, split_date AS ex_date, to_factor / for_factor AS split_ratio FROM vendor_splits""",
+    # a market with planted faults: raw bars of some tickers jump by an unreported reverse split, and some bars are three times too high
+    "missing_splits": """
+        SELECT s_name AS act_symbol, CAST(date_trunc('week', min(l_shipdate)) AS DATE) AS split_date
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 44 AND l_linenumber = 1 AND l_suppkey % 3 = 0 GROUP BY s_name""",
+    "market_base": """
+        SELECT b.date, b.act_symbol, CASE WHEN b.date >= m.split_date THEN 4e0 ELSE 1e0 END AS scale, CASE WHEN b.volume % 37 = 5 THEN 3e0 ELSE 1e0 END AS fault,
+               b.open, b.high, b.low, b.close, b.volume
+        FROM raw_bars b LEFT JOIN missing_splits m ON m.act_symbol = b.act_symbol""",
+    "market_bars": """
+        SELECT date, act_symbol, open * scale * fault AS open, high * scale * fault AS high, low * scale * fault AS low, close * scale * fault AS close, volume FROM market_base""",
+    "market_provider_bars": """
+        SELECT act_symbol AS ticker, concat(act_symbol, '.US') AS provider_symbol, 'vendor' AS provider, date, open * scale AS open, high * scale AS high, low * scale AS low, close * scale AS close,
+               close AS adjusted_close, volume
+        FROM market_base WHERE volume % 11 <> 3""",
+    "market_provider_splits": """
+        SELECT concat(act_symbol, '.US') AS provider_symbol, split_date AS ex_date, 0.25e0 AS split_ratio FROM missing_splits
+        UNION ALL SELECT v.provider_symbol, v.split_date, v.to_factor / v.for_factor FROM vendor_splits v
+        WHERE NOT EXISTS (SELECT 1 FROM missing_splits m WHERE concat(m.act_symbol, '.US') = v.provider_symbol AND m.split_date = v.split_date)""",
     # purchases and clicks per user and day
     "purchases": """
         SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS value, count(*) AS n
@@ -284,7 +302,7 @@ CHECKS: dict[str, str] = {}
 # views that whole chains of tables start from: materialised once, not re-derived by each step
 SHARED = {
     "raw_bars", "returned_bars", "symbol_bars", "priced", "filings", "landed_filings", "bar_factors", "research_rows", "panel",
-    "archive_shares", "archive_ids", "archive_caps", "manual_shares", "signals",
+    "archive_shares", "archive_ids", "archive_caps", "manual_shares", "signals", "market_bars", "market_provider_bars",
 }
 
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
@@ -350,6 +368,13 @@ class Views:
             Views.kept[key] = stage(build())
         return Views.kept[key]
 
+    def keep_object(self, name: str, build: Callable[[], object]):
+        """Fit a model once per session and folder for all its readers."""
+        key = (self.spark.sparkContext.applicationId, self.folder, build.__module__, f"object:{name}")
+        if key not in Views.kept:
+            Views.kept[key] = build()
+        return Views.kept[key]
+
     def sql(self, text: str) -> DataFrame:
         """Run a SELECT over base tables and views."""
         full = with_views(text)

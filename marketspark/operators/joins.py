@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.selection import best_match, with_group_values
-from marketspark.operators.timeline import SLICE_DAYS, neighbours, running, time_slice
+from marketspark.operators.timeline import SLICE_DAYS, Fold, neighbours, running, scan, time_slice
 from marketspark.session import bounded_broadcast, stage
 
 
@@ -93,10 +93,11 @@ def provider_pair(
 def asof_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
     columns: dict[str, str], *, max_age_days: int | None = None,
-    tie: Sequence[str] | None = None, slice_days: float = SLICE_DAYS,
+    tie: Sequence[str] | None = None, slice_days: float = SLICE_DAYS, forward: bool = False,
 ) -> DataFrame:
     """For each left row the latest right row with the same key and ``right_time <= left_time``.
 
+    With ``forward`` it is the earliest one with ``right_time >= left_time``.
     ``columns`` maps output names to right columns. Right rows that share key and
     time are an error unless ``tie`` orders them (the largest wins). The lookup runs
     once per distinct (key, time) of the left side on time slices, and its answer is
@@ -118,20 +119,20 @@ def asof_join(
     probes = left.select(*on, F.col(left_time).alias("_t")).distinct().where(F.col("_t").isNotNull())
     for key in on:
         probes = probes.where(F.col(key).isNotNull())
-    tagged = events.select(*on, F.col("_t").cast("timestamp_ntz"), F.lit(0).alias("_side"), "_row").unionByName(
+    tagged = events.select(*on, F.col("_t").cast("timestamp_ntz"), F.lit(2 if forward else 0).alias("_side"), "_row").unionByName(
         probes.select(*on, F.col("_t").cast("timestamp_ntz"), F.lit(1).alias("_side")), allowMissingColumns=True
     )
     # keys, times and events only: the left side itself is read once more, in the join at the end
     tagged = stage(tagged)
     filled = running(
-        tagged, on, ["_t", "_side"], {"_found": ("last", F.col("_row"))}, slice_days=slice_days
+        tagged, on, ["_t", "_side"], {"_found": ("last", F.col("_row"))}, slice_days=slice_days, reverse=forward
     ).where(F.col("_side") == 1)
     found = filled.select(*on, F.col("_t").alias("_when"), "_found")
     probe = left.withColumn("_when", F.col(left_time).cast("timestamp_ntz"))
     joined = probe.join(found, [*on, "_when"], "left")
     row = F.col("_found")
     if max_age_days is not None:
-        age = F.datediff(F.col(left_time).cast("date"), F.col("_found._at").cast("date"))
+        age = F.abs(F.datediff(F.col(left_time).cast("date"), F.col("_found._at").cast("date")))
         row = F.when(age <= max_age_days, row)
     kept = [c for c in left.columns if c not in columns]
     return joined.withColumn("_found", row).select(
@@ -209,12 +210,50 @@ def nearest_join(
 ) -> DataFrame:
     """Best right row within ``days`` days in either direction; left rows without one are kept.
 
-    ``priority`` sorts before the distance, ``tie`` after it.
+    ``priority`` names classes of right rows, each a condition on the right side: rows of
+    an earlier class win at any distance, rows of none come last. ``tie`` sorts after the
+    distance. Every class is looked up backward and forward, so a left row meets at most
+    two rows of each class and no pairs of the band are formed.
     """
-    pairs = band_join(left, right, key, left_time, right_time, days, days)
-    pairs = pairs.withColumn(distance, F.abs(F.datediff(F.col(left_time), F.col(right_time))))
-    best = best_match(pairs, identity, [*priority, F.col(distance), *tie])
-    return left_rest(left, best, identity)
+    rank = F.lit(len(priority))
+    for number, condition in reversed(list(enumerate(priority))):
+        rank = F.when(condition, number).otherwise(rank)
+    values = [c for c in right.columns if c not in key]
+    order = [*tie] or values
+    classed = best_match(right.where(F.col(right_time).isNotNull()).withColumn("_class", rank), [*key, "_class", right_time], order)
+    asked = left.select(*key, left_time).distinct().withColumn("_class", F.explode(F.array(*[F.lit(i) for i in range(len(priority) + 1)])))
+    names = {f"_n_{c}": c for c in values}
+    found = None
+    for forward in (False, True):
+        side = asof_join(asked, classed, [*key, "_class"], left_time, right_time, names, max_age_days=days, forward=forward)
+        found = side if found is None else found.unionByName(side)
+    found = found.where(F.col(f"_n_{right_time}").isNotNull()).withColumnsRenamed(dict(names))
+    found = found.withColumn(distance, F.abs(F.datediff(left_time, right_time)))
+    best = best_match(found, [*key, left_time], ["_class", distance, *order]).drop("_class")
+    return left_rest(left, left.join(best, [*key, left_time]), identity).select(*left.columns, *values, distance)
+
+
+def nearest_interval(
+    points: DataFrame, spans: DataFrame, key: Sequence[str], time: str, start: str, end: str, label: str, distance: str
+) -> DataFrame:
+    """(key, time, label, distance): the span of the key that holds the time, else the one whose end is nearest.
+
+    Of spans equally near the earliest start counts, then the least ``label``. A time
+    meets the spans that hold it, the last one to end before it and the first one to
+    start after it; no other pairs are formed.
+    """
+    asked = points.select(*key, time).where(F.col(time).isNotNull()).distinct()
+    names = [start, end, label]
+    slim = spans.select(*key, *names)
+    inside = interval_join(asked, slim, key, time, start, end).select(*key, time, *names)
+    found = inside
+    for at, forward in ((end, False), (start, True)):
+        one = best_match(slim, [*key, at], [start, label])
+        near = asof_join(asked, one, key, time, at, {f"_n_{c}": c for c in names}, forward=forward)
+        found = found.unionByName(near.where(F.col(f"_n_{label}").isNotNull()).withColumnsRenamed({f"_n_{c}": c for c in names}))
+    away = F.least(F.abs(F.datediff(time, start)), F.abs(F.datediff(time, end)))
+    measured = found.withColumn(distance, F.when(F.col(time).between(F.col(start), F.col(end)), 0).otherwise(away))
+    return best_match(measured, [*key, time], [distance, start, label]).select(*key, time, label, distance)
 
 
 def interval_join(
@@ -292,10 +331,9 @@ def prev_next_value(
     df: DataFrame, keys: Sequence[str], order: str, column: str, previous: str, following: str, **options
 ) -> DataFrame:
     """Nearest non-null values strictly before and strictly after each row."""
-    back = running(df, keys, [order], {previous: ("last", F.col(column))}, exclusive=True, **options)
-    return running(
-        back, keys, [order], {following: ("last", F.col(column))}, reverse=True, exclusive=True, **options
-    )
+    value = F.col(column)
+    folds = {previous: Fold("last", value, exclusive=True), following: Fold("last", value, reverse=True, exclusive=True)}
+    return scan(df, keys, [order], folds, **options)
 
 
 def asof_latest_source(
@@ -306,19 +344,34 @@ def asof_latest_source(
     return latest_within(left, sources, key, date, published, days, identity, tie)
 
 
+def newest_published(
+    left: DataFrame, sources: DataFrame, keys: Sequence[str], date: str, published: str, first_usable: str, out: str
+) -> DataFrame:
+    """Add the newest publication time among the sources published and usable by each row's date.
+
+    A source counts from the later of its two times on, so the answer is the running
+    maximum of publications in that order: a left row meets one row, whatever the number
+    of sources of its key.
+    """
+    at = F.greatest(F.col(published).cast("timestamp_ntz"), F.col(first_usable).cast("timestamp_ntz"))
+    known = sources.where(F.col(published).isNotNull() & F.col(first_usable).isNotNull())
+    steps = known.groupBy(*keys, at.alias("_from")).agg(F.max(published).alias("_published"))
+    newest = running(steps, keys, ["_from"], {"_newest": ("max", F.col("_published"))})
+    return asof_join(left, newest, keys, date, "_from", {out: "_newest"})
+
+
 def latest_available_source(
-    pairs: DataFrame, sources: DataFrame, keys: Sequence[str], date: str, published: str, first_usable: str
+    left: DataFrame, sources: DataFrame, keys: Sequence[str], date: str, published: str, first_usable: str, days: int | None = None
 ) -> DataFrame:
-    """Drop (row, source) pairs for which a newer publication of the key is usable by the row's date."""
-    newer = running(
-        sources.groupBy(*keys, published).agg(F.min(first_usable).alias("_first")),
-        keys, [published], {"_next": ("min", F.col("_first"))}, reverse=True, exclusive=True,
-    ).select(*keys, published, "_next")
-    return (
-        pairs.join(newer, [*keys, published])
-        .where(F.col("_next").isNull() | (F.col("_next") > F.col(date)))
-        .drop("_next")
-    )
+    """Each left row with the sources of its newest publication usable by its date, at most ``days`` days old.
+
+    Several sources of one publication time all stay. Left rows without one are dropped.
+    """
+    dated = newest_published(left, sources, keys, date, published, first_usable, "_newest").where("_newest IS NOT NULL")
+    if days is not None:
+        dated = dated.where(F.datediff(F.col(date).cast("date"), F.col("_newest").cast("date")) <= days)
+    named = sources.withColumn("_newest", F.col(published))
+    return dated.join(named, [*keys, "_newest"]).where(F.col(first_usable) <= F.col(date)).drop("_newest")
 
 
 def has_event_between(
@@ -326,16 +379,20 @@ def has_event_between(
 ) -> DataFrame:
     """True when an event of the key lies in ``(start, end]``.
 
-    The count of events up to ``end`` is compared with the count up to ``start``,
-    so no left row ever meets more than one event row.
+    Events are counted along the times asked for in one pass, and the counts at ``end``
+    and ``start`` compared, so no left row ever meets an event row.
     """
-    daily = events.select(key, F.col(event_time).alias("_e")).groupBy(key, "_e").agg(F.count(F.lit(1)).alias("_k"))
-    counted = running(daily, [key], ["_e"], {"_count": ("sum", F.col("_k"))})
-    at_end = asof_join(left, counted, [key], end, "_e", {"_n_end": "_count"})
-    both = asof_join(at_end, counted, [key], start, "_e", {"_n_start": "_count"})
-    more = F.coalesce(F.col("_n_end"), F.lit(0)) > F.coalesce(F.col("_n_start"), F.lit(0))
+    daily = events.select(key, F.col(event_time).cast("timestamp_ntz").alias("_e")).where("_e IS NOT NULL").groupBy(key, "_e").agg(F.count(F.lit(1)).alias("_k"))
+    asked = left.select(key, F.explode(F.array(F.col(start).cast("timestamp_ntz"), F.col(end).cast("timestamp_ntz"))).alias("_e")).where("_e IS NOT NULL").distinct()
+    merged = stage(daily.withColumn("_side", F.lit(0)).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True))
+    counted = running(merged, [key], ["_e", "_side"], {"_n": ("sum", F.col("_k"))}).where("_side = 1").select(key, "_e", F.coalesce("_n", F.lit(0)).alias("_n"))
+    both = left
+    for time, n in ((end, "_n_end"), (start, "_n_start")):
+        found = counted.select(F.col(key), F.col("_e").alias("_when"), F.col("_n").alias(n))
+        both = both.withColumn("_when", F.col(time).cast("timestamp_ntz")).join(found, [key, "_when"], "left").drop("_when")
+    more = F.coalesce("_n_end", F.lit(0)) > F.coalesce("_n_start", F.lit(0))
     known = F.col(start).isNotNull() & F.col(end).isNotNull()
-    return both.withColumn(out, known & more).drop("_n_end", "_n_start")
+    return both.withColumn(out, known & more).select(*left.columns, out)
 
 
 def overlapping_pairs(

@@ -4,12 +4,13 @@ A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here th
 order column is cut into slices of fixed width. Each (key, slice) is windowed on
 its own and a small summary with one row per (key, slice) carries the state of the
 earlier slices, so the answer equals the plain window while no task needs more
-than one slice of one key. Keys must not be null.
+than one slice of one key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,81 +44,105 @@ def suggest_slice_days(df: DataFrame, keys: Sequence[str], time: str, rows_per_s
     return min(max(rows_per_slice / busiest, 1 / 24), float(SLICE_DAYS))
 
 
-def _sum(values: Column, carried: Column) -> Column:
-    both_null = values.isNull() & carried.isNull()
-    return F.when(~both_null, F.coalesce(values, F.lit(0)) + F.coalesce(carried, F.lit(0)))
+@dataclass(frozen=True)
+class Fold:
+    """State along an order: ``sum``, ``min``, ``max`` or ``last`` (latest non-null) of ``value``.
 
+    ``reverse`` runs from the last row to the first, ``exclusive`` leaves the current row
+    out. With ``since`` a sum starts anew at every row where that holds, which counts.
+    """
 
-_FOLD = {
-    "sum": (F.sum, _sum),
-    "min": (F.min, F.least),
-    "max": (F.max, F.greatest),
-}
+    kind: str
+    value: Column
+    reverse: bool = False
+    exclusive: bool = False
+    since: Column | None = None
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    specs: dict[str, tuple[str, Column]],
-    *,
-    reverse: bool = False,
-    exclusive: bool = False,
-    slice_days: float = SLICE_DAYS,
-) -> DataFrame:
-    """Add running aggregates in ``order`` per key.
+_FOLD = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+
 
-    ``specs`` maps an output name to (``sum`` | ``min`` | ``max`` | ``last``, expression);
-    ``last`` is the latest non-null value. ``reverse`` runs from the last row to the
-    first and ``exclusive`` leaves the current row out. ``order[0]`` is a date or
-    timestamp and must be non-null.
+def scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dict[str, Fold],
+    *, slice_days: float = SLICE_DAYS, slice_by: Column | None = None,
+) -> DataFrame:
+    """Add several running states in one pass over the slices.
+
+    Each state forms a monoid (a sum with ``since`` as "sum from the last break on, and is
+    there one?"), so one row per (key, slice) holds what the slice adds, and a window over
+    these few rows what all earlier ones carry into it. That row is put in front of its
+    slice's rows, where the states start from it. ``order[0]`` is a date or timestamp and
+    must be non-null; for an order of another type ``slice_by`` gives a slice number that
+    never falls along it. Null keys are keys like any other.
     """
-    columns = df.columns
     group = [*keys, "_slice"]
-    values = {name: f"_v_{i}" for i, name in enumerate(specs)}
+    values = {name: f"_v_{i}" for i, name in enumerate(folds)}
+    breaks = {name: f"_b_{i}" for i, name in enumerate(folds) if folds[name].since is not None}
+    for name in breaks:
+        if folds[name].kind != "sum" or folds[name].reverse or folds[name].exclusive:
+            raise ValueError("since works for forward, inclusive sums")
     sliced = df.select(
-        "*",
-        time_slice(order[0], slice_days).alias("_slice"),
-        *[expr.alias(values[name]) for name, (_, expr) in specs.items()],
+        "*", (time_slice(order[0], slice_days) if slice_by is None else slice_by).alias("_slice"),
+        *[fold.value.alias(values[name]) for name, fold in folds.items()],
+        *[F.when(folds[name].since, 1).otherwise(0).alias(column) for name, column in breaks.items()],
     )
-    pick = F.min_by if reverse else F.max_by
-    partials = []
-    for name, (kind, _) in specs.items():
+
+    def inside(reverse: bool = False, *parts: str) -> Window:
+        return Window.partitionBy(*group, *parts).orderBy("_data", *[F.col(c).desc() if reverse else F.col(c) for c in order])
+
+    # what each slice adds
+    parts = sliced.select(*group, *order, *values.values(), *breaks.values(), F.lit(1).alias("_data"))
+    for column in breaks.values():
+        parts = parts.withColumn(f"_g{column}", F.sum(column).over(inside()))
+        parts = parts.withColumn(f"_m{column}", F.max(f"_g{column}").over(Window.partitionBy(*group)))
+    added = []
+    for name, fold in folds.items():
         value = F.col(values[name])
-        if kind == "last":
-            partial = pick(value, F.when(value.isNotNull(), F.struct(*order)))
+        if name in breaks:
+            after = F.col(f"_g{breaks[name]}") == F.col(f"_m{breaks[name]}")
+            added += [F.sum(F.when(after, value)).alias(values[name]), (F.max(f"_m{breaks[name]}") > 0).cast("int").alias(breaks[name])]
+        elif fold.kind == "last":
+            added.append((F.min_by if fold.reverse else F.max_by)(value, F.when(value.isNotNull(), F.struct(*order))).alias(values[name]))
         else:
-            partial = _FOLD[kind][0](value)
-        partials.append(partial.alias(f"_p{values[name]}"))
-    summary = sliced.groupBy(*group).agg(*partials)
-
-    def direction(names: Sequence[str]) -> list[Column]:
-        return [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
-
-    earlier = Window.partitionBy(*keys).orderBy(*direction(["_slice"])).rowsBetween(_START, -1)
-    inside = (
-        Window.partitionBy(*group)
-        .orderBy(*direction(order))
-        .rowsBetween(_START, -1 if exclusive else 0)
-    )
-    carries, local, results = [], [], []
-    for name, (kind, _) in specs.items():
-        partial, carry = F.col(f"_p{values[name]}"), f"_c{values[name]}"
-        value = F.col(values[name])
-        if kind == "last":
-            carries.append(F.last(partial, ignorenulls=True).over(earlier).alias(carry))
-            local.append(F.last(value, ignorenulls=True).over(inside).alias(f"_w{carry}"))
-            results.append(F.coalesce(f"_w{carry}", carry).alias(name))
+            added.append(_FOLD[fold.kind](value).alias(values[name]))
+    summary = parts.groupBy(*group).agg(*added)
+
+    # what earlier slices carry into each
+    carries = []
+    for name, fold in folds.items():
+        along = Window.partitionBy(*keys).orderBy(F.col("_slice").desc() if fold.reverse else F.col("_slice"))
+        if name in breaks:
+            column = breaks[name]
+            summary = summary.withColumn(f"_g{column}", F.sum(column).over(along))
+            upto = Window.partitionBy(*keys, f"_g{column}").orderBy("_slice").rowsBetween(_START, 0)
+            summary = summary.withColumn(f"_t{column}", F.sum(values[name]).over(upto))
+            carries.append(F.lag(f"_t{column}").over(along).alias(values[name]))
         else:
-            fold, merge = _FOLD[kind]
-            carries.append(fold(partial).over(earlier).alias(carry))
-            local.append(fold(value).over(inside).alias(f"_w{carry}"))
-            results.append(merge(F.col(f"_w{carry}"), F.col(carry)).alias(name))
-    # one row per (key, slice), written once: the result then reads its input a single time, and chains stay linear
+            carries.append(_FOLD[fold.kind](F.col(values[name])).over(along.rowsBetween(_START, -1)).alias(values[name]))
+    # one row per (key, slice), written once: chains stay linear
     carried = stage(summary.select(*group, *carries))
-    kept = [c for c in columns if c not in specs]
-    windowed = sliced.join(carried, group, "left").select("*", *local)
-    return windowed.select(*kept, *results)
+
+    rows = sliced.withColumn("_data", F.lit(1)).unionByName(carried.withColumn("_data", F.lit(0)), allowMissingColumns=True)
+    for column in breaks.values():
+        rows = rows.withColumn(f"_g{column}", F.sum(F.coalesce(column, F.lit(0))).over(inside()))
+    results = []
+    for name, fold in folds.items():
+        window = inside(fold.reverse, *([f"_g{breaks[name]}"] if name in breaks else []))
+        results.append(_FOLD[fold.kind](F.col(values[name])).over(window.rowsBetween(_START, -1 if fold.exclusive else 0)).alias(f"_r{values[name]}"))
+    kept = [c for c in df.columns if c not in folds]
+    return rows.select(*kept, "_data", *results).where("_data = 1").select(*kept, *[F.col(f"_r{values[name]}").alias(name) for name in folds])
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, Column]],
+    *, reverse: bool = False, exclusive: bool = False, slice_days: float = SLICE_DAYS, slice_by: Column | None = None,
+) -> DataFrame:
+    """Add running aggregates in ``order`` per key, all in one direction; see :func:`scan`.
+
+    ``specs`` maps an output name to (``sum`` | ``min`` | ``max`` | ``last``, expression).
+    """
+    folds = {name: Fold(kind, value, reverse, exclusive) for name, (kind, value) in specs.items()}
+    return scan(df, keys, order, folds, slice_days=slice_days, slice_by=slice_by)
 
 
 def neighbours(

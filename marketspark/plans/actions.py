@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketspark.functions.scalars import is_true, ratio_matches, safe_div, status_case
 from marketspark.operators.joins import (
-    band_join, count_over, interval_join, left_rest, next_within, prev_session_join,
+    band_join, count_over, interval_join, left_rest, nearest_interval, next_within, prev_session_join,
 )
 from marketspark.operators.mutate import resolve_seed, upsert
 from marketspark.operators.ranking import ranked_rows
@@ -80,14 +80,10 @@ def split_candidates(audit: DataFrame, episodes: DataFrame, membership: DataFram
     rows = ranked_rows(audit, [], [F.col(c).asc_nulls_last() for c in order], "source_split_row_id", "_all").drop("_all")
     spans = episodes.select("act_symbol", "ticker_episode_id", "start_date", "end_date")
     day = F.col("source_ex_date")
-    inside = day.between(F.col("start_date"), F.col("end_date"))
-    away = F.least(F.abs(F.datediff(day, "start_date")), F.abs(F.datediff(day, "end_date")))
-    pairs = rows.select("source_split_row_id", "act_symbol", "source_ex_date").join(spans, "act_symbol").withColumn(
-        "episode_distance_days", F.when(inside, 0).otherwise(away))
-    best = best_match(pairs, ["source_split_row_id"], ["episode_distance_days", "start_date", "ticker_episode_id"]).select(
-        "source_split_row_id", F.col("ticker_episode_id").alias("candidate_ticker_episode_id"), "episode_distance_days")
+    best = nearest_interval(rows, spans, ["act_symbol"], "source_ex_date", "start_date", "end_date", "ticker_episode_id", "episode_distance_days").withColumnRenamed(
+        "ticker_episode_id", "candidate_ticker_episode_id")
     distance = F.col("episode_distance_days")
-    mapped = rows.join(best, "source_split_row_id", "left").withColumn("episode_mapping_method", status_case(
+    mapped = rows.join(best, ["act_symbol", "source_ex_date"], "left").withColumn("episode_mapping_method", status_case(
         [
             (F.col("candidate_ticker_episode_id").isNull(), "unresolved_no_episode"),
             (distance == 0, "exact_episode_date"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.functions.scalars import status_case
 from marketspark.operators.graph import connected_components
+from marketspark.operators.joins import asof_join
 from marketspark.operators.mutate import assign_ids, upsert
 from marketspark.operators.quality import assert_assigned_once
 from marketspark.operators.ranking import ranked_rows
@@ -64,8 +65,8 @@ def ticker_lineage_evidence(changes: DataFrame, source_type: str, source_referen
 def ticker_transitions(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
     """Map each validated change to the closest pair of episodes around its date (TB-6, JN-18).
 
-    The distance is a sum of one term per side, so the best pair is the best old
-    episode with the best new one and the two sides never meet as a product.
+    The distance is a sum of one term per side, so the best pair is the last old episode
+    to end by then with the first new one to start after it: one lookup per side.
     """
     valid = evidence.where("same_security")
     old = episodes.select(
@@ -76,15 +77,13 @@ def ticker_transitions(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
         F.col("act_symbol").alias("to_ticker"), F.col("ticker_episode_id").alias("to_episode_id"),
         F.col("start_date").alias("to_episode_start"), F.col("end_date").alias("to_episode_end"),
     )
-    left = best_match(
-        valid.join(old, "from_ticker").where("from_episode_end <= effective_date"),
-        ["evidence_id"], [F.col("from_episode_end").desc(), "from_episode_id"],
-    )
-    right = best_match(
-        valid.select("evidence_id", "to_ticker", "effective_date").join(new, "to_ticker").where("to_episode_start >= effective_date"),
-        ["evidence_id"], ["to_episode_start", "to_episode_id"],
-    ).drop("to_ticker", "effective_date")
-    best = left.join(right, "evidence_id")
+    last = best_match(old, ["from_ticker", "from_episode_end"], ["from_episode_id"])
+    first = best_match(new, ["to_ticker", "to_episode_start"], ["to_episode_id"])
+    parts = {c: c for c in ("from_episode_id", "from_episode_start", "from_episode_end")}
+    left = asof_join(valid, last, ["from_ticker"], "effective_date", "from_episode_end", parts)
+    parts = {c: c for c in ("to_episode_id", "to_episode_start", "to_episode_end")}
+    best = asof_join(left, first, ["to_ticker"], "effective_date", "to_episode_start", parts, forward=True)
+    best = best.where("from_episode_id IS NOT NULL AND to_episode_id IS NOT NULL")
     before, after = F.datediff("effective_date", "from_episode_end"), F.datediff("to_episode_start", "effective_date")
     return best.select(
         F.md5(F.concat_ws("|", "evidence_id", "from_episode_id", "to_episode_id")).alias("transition_id"),
@@ -175,20 +174,21 @@ def reconcile_preview(components: DataFrame, membership: DataFrame) -> DataFrame
 def free_suffix_codes(wanted: DataFrame, existing_codes: DataFrame) -> DataFrame:
     """Give each (ticker, order) row the ticker's next free ``<ticker>_<n>`` code (MUT-7).
 
-    The k-th free number is k plus the used numbers u (i-th in order) with ``u - i < k``,
-    so nothing is searched row by row.
+    The k-th free number is k plus the used numbers u (i-th in order) with ``u - i < k``;
+    both lists are merged in one ordered pass, so a ticker may have any number of codes.
     """
     used = existing_codes.select(
         F.regexp_extract("lineage_code", r"^(.*)_[0-9]+$", 1).alias("latest_ticker"),
         F.regexp_extract("lineage_code", r"_([0-9]+)$", 1).try_cast("long").alias("_u"),
     ).where("_u IS NOT NULL AND _u > 0").distinct()
     ranked = ranked_rows(used, ["latest_ticker"], ["_u"], "_i", "_all")
-    below = ranked.select("latest_ticker", (F.col("_u") - F.col("_i")).alias("_below"))
+    # along the order the used numbers' gaps only grow: the last one below k says how many stand before the k-th free number
+    gaps = ranked.groupBy("latest_ticker", (F.col("_u") - F.col("_i")).alias("_at")).agg(F.max("_i").alias("_skip"))
     numbered = ranked_rows(wanted, ["latest_ticker"], ["component_root"], "_k", "_all").drop("_all")
-    skipped = (
-        numbered.select("latest_ticker", "_k", "component_root").join(below, "latest_ticker").where("_below < _k")
-        .groupBy("component_root").agg(F.count(F.lit(1)).alias("_skip"))
-    )
+    asked = numbered.select("latest_ticker", (F.col("_k") - 1).alias("_at"), "component_root")
+    merged = gaps.withColumn("_side", F.lit(0)).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    found = running(merged, ["latest_ticker"], ["_at", "_side", "component_root"], {"_skipped": ("last", F.col("_skip"))}, slice_by=F.floor(F.col("_at") / 100_000))
+    skipped = found.where("_side = 1").select("component_root", F.col("_skipped").alias("_skip"))
     joined = numbered.join(skipped, "component_root", "left")
     number = (F.col("_k") + F.coalesce("_skip", F.lit(0))).cast("string")
     return joined.withColumn("lineage_code", F.concat_ws("_", "latest_ticker", number)).drop("_k", "_skip")

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketspark.operators.quality import assert_rules, finite, leakage_rules, validate_schema
 from marketspark.plans import crosssection as C
 from marketspark.plans import metrics as M
 from marketspark.sources.sinks import write_csv, write_json, write_parquet
@@ -24,13 +25,27 @@ def base_rate(train: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.withColumn("predicted_probability", prior)
 
 
+def validate_model_rows(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Fail before a fit on missing columns, features that are no finite numbers, or targets other than 0 and 1; one pass."""
+    validate_schema(rows, ["target", *features])
+    assert_rules(rows, {f"{name}_not_finite": finite(name) for name in features} | {"target_not_0_or_1": F.col("target").isin(0, 1)})
+    return rows
+
+
+def validate_sample(rows: DataFrame, features: Sequence[str], start: str, end: str) -> DataFrame:
+    """As :func:`validate_model_rows`, and fail if a date or the end of its label lies outside the sample's split."""
+    validate_schema(rows, [*KEYS, "forward_relative_return"])
+    assert_rules(rows, {f"split_{name}": rule for name, rule in leakage_rules(start, end).items()})
+    return validate_model_rows(rows, features)
+
+
 def _assembler(features: Sequence[str], out: str) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], max_iter: int = 500) -> PipelineModel:
     """Standardised logistic regression with the unit ridge penalty on summed losses (ML-2)."""
-    n = train.count()
+    n = validate_model_rows(train, features).count()
     return Pipeline(stages=[
         _assembler(features, "_raw"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
@@ -43,6 +58,7 @@ def fit_gbt(
     train: DataFrame, features: Sequence[str], seed: int = 42, max_iter: int = 200, held_out: float = 0.1
 ) -> PipelineModel:
     """Boosted trees with early stopping on a hash-chosen share of the training rows (ML-3)."""
+    validate_model_rows(train, features)
     bucket = F.pmod(F.xxhash64("security_id", "date", F.lit(seed)), F.lit(1000)) < int(held_out * 1000)
     return Pipeline(stages=[
         _assembler(features, "_raw"),

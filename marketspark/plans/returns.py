@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.functions.scalars import is_true, not_true, status_case
 from marketspark.operators.joins import prev_session_join
-from marketspark.operators.timeline import running, segment_ids
+from marketspark.operators.timeline import Fold, scan
 
 CONFIRMED = "vendor_confirms_extreme_after_adjustment"
 
@@ -104,12 +104,10 @@ def segment_index(
     df: DataFrame, key: str, date: str, ret: str, eligible: str, segment: str, log_level: str, level: str
 ) -> DataFrame:
     """Compounded level within segments; an ineligible row starts a segment and has no level."""
-    cut = segment_ids(df, [key], [date], ~F.col(eligible), segment)
-    growth = F.when(F.col(eligible), F.ln(F.lit(1.0) + F.col(ret)))
-    levels = running(cut, [key, segment], [date], {log_level: ("sum", growth)})
-    return levels.withColumn(log_level, F.when(F.col(eligible), F.col(log_level))).withColumn(
-        level, F.exp(log_level)
-    )
+    broken, growth = ~F.col(eligible), F.when(F.col(eligible), F.ln(F.lit(1.0) + F.col(ret)))
+    levels = scan(df, [key], [date], {
+        segment: Fold("sum", F.when(broken, 1).otherwise(0).cast("long")), log_level: Fold("sum", growth, since=broken)})
+    return levels.withColumn(log_level, F.when(F.col(eligible), F.col(log_level))).withColumn(level, F.exp(log_level))
 
 
 def total_return_index(research: DataFrame) -> DataFrame:

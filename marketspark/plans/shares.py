@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marketspark.functions.scalars import (
     alphanumeric, freshness, is_true, log_ratio, not_true, safe_div, scale_band, status_case, unit_unverified,
 )
-from marketspark.operators.joins import asof_join, band_join, count_over, distinct_over, has_event_between, semi_join
+from marketspark.operators.joins import asof_join, band_join, count_over, distinct_over, has_event_between, latest_available_source, semi_join
 from marketspark.operators.mutate import ensure_columns, update_from
 from marketspark.operators.ranking import exact_quantile, hash_first_k, n_tiles
 from marketspark.operators.selection import best_match, latest_per_key, peak_per_key, top_k
@@ -638,8 +638,7 @@ def stage_corrections(
     the vendor count is plausible.
     """
     dated = prices.select("security_id", "ticker", F.col("date").alias("price_date"), "close")
-    pairs = band_join(dated, sources, ["security_id", "ticker"], "price_date", "publication_date", days, 0)
-    usable = pairs.where("price_date >= first_price_date")
+    usable = latest_available_source(dated, sources, ["security_id", "ticker"], "price_date", "publication_date", "first_price_date", days)
     newest = best_match(usable, ["security_id", "price_date"], [F.col("publication_date").desc(), "source_document_id"])
     rows = asof_join(newest, effective, ["ticker"], "price_date", "filing_date", {
         "_symbol": "provider_symbol", "_period": "period_date", "_filing": "filing_date", "_shares": "shares_outstanding"})

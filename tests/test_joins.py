@@ -121,3 +121,93 @@ def test_upsert_leaves_one_row_per_key(spark):
     old, new = spark.createDataFrame([(1, "a", 0)], "k int, v string, n int"), spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 3), (2, "e", 4)], "k int, v string, n int")
     assert sorted(tuple(r) for r in upsert(old, new, ["k"], ["n"]).collect()) == [(1, "c", 2), (2, "e", 4)]
     assert sorted(tuple(r) for r in append_new(old, new, ["k"], ["n"]).collect()) == [(1, "a", 0), (2, "d", 3)]
+
+
+def test_asof_forward(data):
+    left, right, l, r = data
+    got = {x.id: x.v for x in J.asof_join(l, r, ["k"], "t", "u", {"v": "v"}, forward=True, max_age_days=15, slice_days=30).collect()}
+    for i, k, t in left:
+        found = min(((u, v) for kk, u, v in right if kk == k and 0 <= (u - t).days <= 15), default=(None, None))
+        assert got[i] == found[1]
+
+
+def test_nearest_prefers_earlier_classes(data):
+    left, right, l, r = data
+    got = {x.id: (x.day_distance, x.v) for x in J.nearest_join(l, r, ["k"], "t", "u", 30, ["id"], priority=[F.col("v") < 10, F.col("v") < 40], tie=["u"]).collect()}
+    for i, k, t in left:
+        near = min((((v >= 10) + (v >= 40), abs((u - t).days), u, v) for kk, u, v in right if kk == k and abs((u - t).days) <= 30), default=None)
+        assert got[i] == ((near[1], near[3]) if near else (None, None))
+
+
+def test_nearest_interval(spark):
+    rng = random.Random(8)
+    spans = [(f"s{i:02d}", rng.choice(["hot", "hot", "a"]), day(s := 20 * rng.randint(0, 100)), day(s + rng.randint(0, 60))) for i in range(50)]
+    points = sorted({(rng.choice(["hot", "a", "none"]), day(rng.randint(-50, 2200))) for _ in range(150)})
+    s, p = spark.createDataFrame(spans, "e string, k string, a date, b date"), spark.createDataFrame(points, "k string, t date")
+    got = {(x.k, x.t): (x.away, x.e) for x in J.nearest_interval(p, s, ["k"], "t", "a", "b", "e", "away").collect()}
+    for k, t in points:
+        near = min(((0 if a <= t <= b else min(abs((t - a).days), abs((t - b).days)), a, e) for e, kk, a, b in spans if kk == k), default=None)
+        assert got.get((k, t)) == ((near[0], near[2]) if near else None)
+
+
+def test_newest_usable_source(spark):
+    rng = random.Random(4)
+    sources = [(i, rng.choice(["hot", "hot", "a"]), day(p := rng.randint(0, 600)), day(p + rng.choice([-3, 0, 7, 90]))) for i in range(120)]
+    left = [(i, rng.choice(["hot", "a", "b"]), day(rng.randint(0, 900))) for i in range(200)]
+    s, l = spark.createDataFrame(sources, "sid int, k string, p date, f date"), spark.createDataFrame(left, "id int, k string, t date")
+    got = sorted((x.id, x.sid) for x in J.latest_available_source(l, s, ["k"], "t", "p", "f", 365).collect())
+    want = []
+    for i, k, t in left:
+        usable = [(p, n) for n, kk, p, f in sources if kk == k and f <= t and p <= t]
+        newest = max((p for p, _ in usable), default=None)
+        want += [(i, n) for p, n in usable if p == newest and (t - p).days <= 365]
+    assert got == sorted(want)
+
+
+def rows_made(df):
+    """Rows that joins and generators of the plan made."""
+    df.collect()
+    total, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            left.append(node.plan())
+            continue
+        if ("Join" in name or name == "GenerateExec") and node.metrics().contains("numOutputRows"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("kind", ["newest", "nearest", "interval"])
+def test_lookups_make_no_pairs(spark, kind):
+    """10,000 rows of one key on both sides: the joins make a few rows per left row, not the 10^8 pairs or those of a band."""
+    n = 10_000
+    left = spark.range(n).select(F.lit("hot").alias("k"), F.col("id"), F.expr("date_add(date'2000-01-01', cast(id % 3000 as int))").alias("t"))
+    right = spark.range(n).select(
+        F.lit("hot").alias("k"), F.col("id").alias("rid"), F.expr("date_add(date'2000-01-01', cast(id % 2900 as int))").alias("u"),
+        F.expr("date_add(date'2000-01-05', cast(id % 2900 as int))").alias("f"))
+    if kind == "newest":
+        found = J.newest_published(left, right, ["k"], "t", "u", "f", "newest")
+    elif kind == "nearest":
+        found = J.nearest_join(left, right, ["k"], "t", "u", 365, ["id"], tie=["rid"])
+    else:
+        spans = right.where("rid < 2900 AND rid % 10 = 0")
+        found = J.nearest_interval(left, spans, ["k"], "t", "u", "f", "rid", "away")
+    assert 0 < rows_made(found) < 12 * n
+    assert found.count() == (3000 if kind == "interval" else n)
+
+
+def test_free_numbers_of_many_codes(spark):
+    from marketspark.plans.identity import free_suffix_codes
+
+    used = spark.range(1, 10_001).where("id % 3 <> 0").select(F.concat(F.lit("HOT_"), F.col("id")).alias("lineage_code"))
+    wanted = spark.range(5000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("component_root"), F.lit("HOT").alias("latest_ticker"))
+    got = {r.component_root: r.lineage_code for r in free_suffix_codes(wanted, used).collect()}
+    free = [i for i in range(1, 20_000) if i % 3 == 0 or i > 10_000]
+    assert got == {f"{k:05d}": f"HOT_{free[k]}" for k in range(5000)}

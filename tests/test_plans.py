@@ -222,12 +222,19 @@ def test_unequal_samples_are_not_compared(spark):
         crosssection.compare_runs(a, spark.createDataFrame([("b", 11)], "model string, n long")).collect()
 
 
-def test_quotas():
-    assert research.year_quotas([(2000, 5), (2001, 100), (2002, 100)], 65) == {2000: 5, 2001: 31, 2002: 29}
-    assert research.year_quotas([(2000, 3), (2001, 2)], 100) == {2000: 3, 2001: 2}
-    assert sum(research.year_quotas([(y, 10) for y in range(7)], 31).values()) == 31
+def test_quotas(spark):
+    def quotas(rows, total):
+        counts = spark.createDataFrame(rows, "calendar_year long, n long")
+        return {r.calendar_year: r.quota for r in research.year_quotas(counts, total).collect()}
+
+    assert quotas([(2000, 5), (2001, 100), (2002, 100)], 65) == {2000: 5, 2001: 30, 2002: 30}
+    assert quotas([(2000, 5), (2001, 100), (2002, 100)], 90) == {2000: 5, 2001: 43, 2002: 42}
+    assert quotas([(2000, 3), (2001, 2)], 100) == {2000: 3, 2001: 2}
+    assert quotas([(2020, 100), (2021, 100), (2022, 100)], 90) == {2020: 30, 2021: 30, 2022: 30}
+    assert sum(quotas([(y, 10) for y in range(7)], 31).values()) == 31
+    assert quotas([(2000, 0), (2001, 9)], 2) == {2001: 2} and quotas([(2001, 4), (2002, 9)], 1) == {2001: 1}
     with pytest.raises(ValueError):
-        research.year_quotas([(2000, 1)], 0)
+        quotas([(2000, 1)], 0)
 
 
 def test_free_codes_and_reconcile(spark):
@@ -257,9 +264,7 @@ def test_override_seed_is_whole_and_resolvable(spark):
     assert actions.corporate_action_overrides(empty, seed, spans, owners).count() == 47
 
 
-def test_rebuild_writes_checked_tables(spark, tmp_path):
-    from marketspark.plans.rebuild import STEPS, rebuild
-
+def _rebuild_inputs(spark):
     days = [date(2022, 1, 3) + timedelta(days=i) for i in range(12)]
     px = spark.createDataFrame([(s, d, 10.0 + s + i * (s + 1) / 10, 100 + i) for s in (1, 2) for i, d in enumerate(days)], "security_id long, date date, close double, volume long")
     px = px.withColumns({c: F.col("close") for c in ("open", "high", "low")} | {
@@ -270,7 +275,7 @@ def test_rebuild_writes_checked_tables(spark, tmp_path):
         return spark.createDataFrame([], schema)
 
     universe = px.select("security_id", "date", F.lit(True).alias("primary_research_eligible_broad"), F.lit(True).alias("primary_research_eligible_exchange"))
-    inputs = {
+    return px, days, {
         "security_daily_ohlcv": px, "trading_calendar": px.select(F.col("date").alias("session_date")).distinct(), "research_universe_eligibility": universe,
         "automatic_price_correction": none("security_id long, correction_date date, open double, high double, low double, close double, volume long, provider_symbol string"),
         "security_split_event": spark.createDataFrame([(1, days[5], 1.5)], "security_id long, split_date date, split_ratio double"),
@@ -280,11 +285,100 @@ def test_rebuild_writes_checked_tables(spark, tmp_path):
         "extreme_return_diagnostic": none("security_id long, date date, diagnostic_class string, price_level_diagnostic string"),
         "security_master": px.select("security_id").distinct(),
     }
-    tables = rebuild(inputs, str(tmp_path))
-    assert tables["security_daily_return"].where("research_eligible").count() == 22
-    model = {(r.security_id, r.date): r for r in tables["research_feature_label_model"].collect()}
-    assert len(STEPS) == 12 and model[1, days[5]].lag_1d_gtr > 0.4 and model[2, days[1]].target_end_date_5d == days[6]
+
+
+def test_rebuild_writes_checked_tables(spark, tmp_path):
+    from marketspark.plans.rebuild import STEPS, needed_steps, rebuild
+
+    px, days, inputs = _rebuild_inputs(spark)
+    steps = needed_steps(["research_feature_label_model"], inputs)
+    built = rebuild(inputs, str(tmp_path), steps=steps)
+    assert built["security_daily_return"].where("research_eligible").count() == 22
+    model = {(r.security_id, r.date): r for r in built["research_feature_label_model"].collect()}
+    assert len(STEPS) == 40 and model[1, days[5]].lag_1d_gtr > 0.4 and model[2, days[1]].target_end_date_5d == days[6]
+    assert set(built.actions.values()) == {"built"} and len(built.actions) == len(steps)
+    fewer = px.where(F.col("date") < days[8])
     with pytest.raises(QualityError, match="rows moved"):
-        rebuild(inputs, str(tmp_path / "again"), previous={"security_daily_return": px.limit(3)})
+        rebuild(inputs | {"security_daily_ohlcv": fewer}, str(tmp_path), drift=0.01, steps=steps)
     with pytest.raises(QualityError, match="orphan"):
-        rebuild(inputs | {"security_master": px.select("security_id").distinct().limit(1)}, str(tmp_path / "orphan"))
+        rebuild(inputs | {"security_master": px.select("security_id").distinct().limit(1)}, str(tmp_path / "orphan"), steps=steps)
+    with pytest.raises(ValueError, match="neither inputs nor built"):
+        rebuild(inputs, str(tmp_path / "none"))
+
+
+def test_broken_rebuild_goes_on_where_it_stopped(spark, tmp_path):
+    from marketspark.plans.rebuild import needed_steps, rebuild, table_digest
+
+    px, days, inputs = _rebuild_inputs(spark)
+    steps = needed_steps(["research_feature_label_model"], inputs)
+    names = [s.name for s in steps]
+
+    def stop(step):
+        if step.name == "security_gtr_index":
+            raise RuntimeError("executor lost")
+
+    with pytest.raises(RuntimeError):
+        rebuild(inputs, str(tmp_path), steps=steps, before_step=stop)
+    resumed = rebuild(inputs, str(tmp_path), steps=steps)
+    at = names.index("security_gtr_index")
+    assert [resumed.actions[n] for n in names] == ["kept"] * at + ["built"] * (len(names) - at)
+    again = rebuild(inputs | {"security_daily_ohlcv": px.repartition(3)}, str(tmp_path), steps=steps)
+    assert set(again.actions.values()) == {"kept"}, "the order of rows does not matter"
+    # a changed input rebuilds what reads it, and what reads that
+    changed = inputs | {"extreme_return_diagnostic": spark.createDataFrame(
+        [(1, days[4], "vendor_confirms_extreme_after_adjustment", "x")], inputs["extreme_return_diagnostic"].schema)}
+    third = rebuild(changed, str(tmp_path), steps=steps)
+    assert third.actions["security_daily_return"] == "kept" and third.actions["security_daily_return_research"] == "built"
+    fresh = rebuild(changed, str(tmp_path / "fresh"), steps=steps)
+    assert {n: table_digest(third[n]) for n in names} == {n: table_digest(fresh[n]) for n in names} == {n: fresh.digests[n] for n in names}
+
+
+def test_steps_read_only_what_comes_before():
+    from marketspark.plans.rebuild import STEPS, needed_steps
+
+    seen = set()
+    for step in STEPS:
+        later = {s.name for s in STEPS} - seen
+        assert not set(step.reads) & later, step.name
+        seen.add(step.name)
+    assert [s.name for s in needed_steps(["security_split_event"])] == ["security_split_candidate", "split_full_history_comparison", "security_split_event"]
+
+
+def test_sample_by_hash_groups_equals_plain_ranks(spark, tmp_path):
+    import hashlib
+
+    rows = [(s, date(2000 + s % 4, 1, 1) + timedelta(days=i), s % 2, 0.5) for s in range(40) for i in range(30 if s % 4 else 3)]
+    pool = spark.createDataFrame(rows, "security_id long, date date, target int, x double")
+    quotas = research.year_quotas(research.candidate_counts(pool), 400)
+    wanted = {r.calendar_year: r.quota for r in quotas.collect()}
+    assert wanted == {2000: 30, 2001: 124, 2002: 123, 2003: 123}
+
+    def key(r):
+        return (hashlib.md5(f"{r[0]}|{r[1]}|s|5".encode()).hexdigest(), r[0], r[1])
+
+    want = [r for year, n in wanted.items() for r in sorted((r for r in rows if r[1].year == year), key=key)[:n]]
+    got = research.hash_sample(pool, quotas, 5, "s")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    manifest = {r.calendar_year: r for r in research.export_sample(pool, str(tmp_path), 400, 5, "s").collect()}
+    assert {y: (m.quota, m.rows, m.candidate_rows) for y, m in manifest.items()} == {2000: (30, 30, 30), 2001: (124, 124, 300), 2002: (123, 123, 300), 2003: (123, 123, 300)}
+    assert manifest[2001].sampling_seed == "s" and manifest[2001].securities == 10
+    assert spark.read.parquet(f"{tmp_path}/5d/train").count() == 400
+
+
+def test_bad_model_rows_are_refused(spark):
+    from marketspark.plans import models
+
+    good = [(1, D1, "T", D2, 0.1, 1, 1.0, 2.0), (2, D1, "T", D2, -0.1, 0, 3.0, 4.0)]
+    schema = "security_id long, date date, ticker string, target_end_date date, forward_relative_return double, target int, a double, b double"
+    rows = spark.createDataFrame(good, schema)
+    assert models.validate_sample(rows, ["a", "b"], "2020-01-01", "2020-12-31") is rows
+    with pytest.raises(QualityError, match="b_not_finite"):
+        models.fit_logistic(rows.withColumn("b", F.when(F.col("security_id") == 1, float("inf")).otherwise(F.col("b"))), ["a", "b"])
+    with pytest.raises(QualityError, match="a_not_finite"):
+        models.fit_gbt(rows.withColumn("a", F.lit(None).cast("double")), ["a", "b"])
+    with pytest.raises(QualityError, match="target_not_0_or_1"):
+        models.fit_gbt(rows.withColumn("target", F.lit(2)), ["a", "b"])
+    with pytest.raises(QualityError, match="missing columns: c"):
+        models.validate_model_rows(rows, ["c"])
+    with pytest.raises(QualityError, match="split_label_outside"):
+        models.validate_sample(rows.withColumn("target_end_date", F.lit("2021-01-02").cast("date")), ["a"], "2020-01-01", "2020-12-31")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import random
 from datetime import date
 from zipfile import ZipFile
 
@@ -89,6 +90,46 @@ def test_ragged_csv_and_profile(spark):
     assert isin.isin_name_comparison(rows, names).first().name_status == "exact_normalized_alias"
 
 
+def python_rows(text):
+    import csv
+    import io
+
+    return list(csv.reader(io.StringIO(text, newline="")))
+
+
+def test_csv_records_equal_pythons(spark, tmp_path, monkeypatch):
+    """Blank rows, doubled quotes, quotes inside plain fields and quoted line breaks, with blocks that end within quotes."""
+    rng = random.Random(6)
+    monkeypatch.setattr(archives, "LINES", 3)
+    pieces = ["a", "b c", '"x, y"', '"two\nlines"', '"say ""so"""', 'in"side', '"end"tail', '"\r\n\n"', "", "é", '""', '"a""\n""b"', '"1\n2\n3\n4\n5"']
+    texts = ["\n".join(",".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) + rng.choice(["", "\r"]) for _ in range(rng.randint(1, 40))) + rng.choice(["", "\n"]) for _ in range(20)]
+    texts += ["\ufeffa,b\n1,2\n", 'x,"open\nto the end', "a\n\n\nb\n"]
+    got = {}
+    for r in archives.csv_records(archives.stored_lines(table(spark, *[t.encode() for t in texts]))).collect():
+        got.setdefault(r.source_sha256, []).append((r.record, r.fields))
+    for text in texts:
+        rows = [f for _, f in sorted(got[hashlib.sha256(text.encode()).hexdigest()])]
+        assert rows == python_rows(text.removeprefix("\ufeff")), text
+
+
+def test_a_large_csv_is_read_by_several_tasks(spark, tmp_path):
+    rng = random.Random(1)
+    text = ",Date,ISIN,CompanyName,MktCap\n" + "".join(
+        f'{i},2020-01-31,US0378331005,{rng.choice(["Apple, Inc", chr(34) + "Apple" + chr(10) + "Inc" + chr(34), "Apple"])},{i}\n' for i in range(3000))
+    (tmp_path / "big.csv").write_text(text)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = archives.text_lines(spark, str(tmp_path / "big.csv"))
+        assert lines.rdd.getNumPartitions() > 4 and lines.select("block").distinct().count() > 4
+        records = archives.csv_records(lines)
+        got = [r.fields for r in records.orderBy("record").collect()]
+        assert archives.ragged_rows(records).where("parse_status = 'valid_isin'").count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == python_rows(text)
+
+
 HTML = """<html><ix:header><xbrli:context id="c1"><xbrli:period><xbrli:instant>2024-01-31</xbrli:instant></xbrli:period></xbrli:context>
 <xbrli:context id="c2"><xbrldi:explicitMember dimension="us-gaap:StatementClassOfStockAxis">us-gaap:CommonClassAMember</xbrldi:explicitMember><xbrli:instant>2024-02-01</xbrli:instant></xbrli:context></ix:header>
 <ix:nonFraction name="dei:EntityCommonStockSharesOutstanding" contextRef="c2" scale="3"><b>1,234</b></ix:nonFraction>

@@ -94,3 +94,58 @@ def test_hourly_slices_of_a_busy_day(spark):
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")).cast("long"))
     assert sorted((r.i, r.n) for r in got.collect()) == sorted((r.i, r.n) for r in want.collect())
     assert T.suggest_slice_days(df.limit(0), ["k"], "t") == T.SLICE_DAYS
+
+
+def test_null_keys_are_keys_like_others(spark):
+    rows = [(None, date(2000, 1, 1), 1), (None, date(2001, 1, 1), 1), ("a", date(2000, 1, 1), 5), ("a", date(2002, 1, 1), 6)]
+    df = spark.createDataFrame(rows, "k string, d date, v int")
+    got = sorted((str(r.k), r.d.year, r.s) for r in T.running(df, ["k"], ["d"], {"s": ("sum", F.col("v"))}, slice_days=30).collect())
+    assert got == [("None", 2000, 1), ("None", 2001, 2), ("a", 2000, 5), ("a", 2002, 11)]
+
+
+@pytest.mark.parametrize("slice_days", [5, 90, 100000])
+def test_states_of_both_directions_and_breaks_in_one_scan(panel, slice_days):
+    """Sums since the last break, with breaks in some slices and none in others, next to other states."""
+    cut = F.col("v") >= 8
+    got = T.scan(panel, ["k"], ["d"], {
+        "n": T.Fold("sum", F.when(cut, 1).otherwise(0)), "s": T.Fold("sum", F.col("x"), since=cut), "r": T.Fold("sum", F.col("v"), since=F.col("v") == 2),
+        "back": T.Fold("last", F.col("x"), exclusive=True), "ahead": T.Fold("last", F.col("x"), reverse=True, exclusive=True),
+    }, slice_days=slice_days)
+    here = panel.withColumns({"_a": F.sum(cut.cast("long")).over(W()), "_b": F.sum((F.col("v") == 2).cast("long")).over(W())})
+
+    def since(column):
+        return Window.partitionBy("k", column).orderBy("d")
+
+    edge = Window.unboundedPreceding
+    want = here.select(
+        *panel.columns, F.col("_a").alias("n"), F.sum("x").over(since("_a")).alias("s"), F.sum("v").over(since("_b")).alias("r"),
+        F.last("x", True).over(W().rowsBetween(edge, -1)).alias("back"), F.last("x", True).over(R().rowsBetween(edge, -1)).alias("ahead"))
+    same(got, want)
+
+
+def test_since_needs_a_forward_sum(panel):
+    with pytest.raises(ValueError):
+        T.scan(panel, ["k"], ["d"], {"s": T.Fold("max", F.col("x"), since=F.col("v") == 1)})
+
+
+def test_a_chain_of_states_is_one_eager_job_and_two_reads(spark, tmp_path):
+    """The total-return index needs one pass for the carries and one for the result, whatever the number of its states."""
+    from marketspark.plans.returns import segment_index
+
+    rows = [(s, date(2000, 1, 1) + timedelta(days=7 * i), 0.01 * (i % 5 - 2), i % 11 > 0) for s in range(3) for i in range(200)]
+    spark.createDataFrame(rows, "security_id int, date date, r double, ok boolean").write.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "t"))
+    staged = []
+    plain = T.stage
+    T.stage = lambda df: staged.append(df) or plain(df)
+    try:
+        index = segment_index(source, "security_id", "date", "r", "ok", "seg", "log", "level")
+    finally:
+        T.stage = plain
+    assert len(staged) == 1 and staged[0]._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    w = Window.partitionBy("security_id").orderBy("date")
+    cut = source.withColumn("seg", F.sum((~F.col("ok")).cast("long")).over(w))
+    logs = F.sum(F.when(F.col("ok"), F.ln(1 + F.col("r")))).over(Window.partitionBy("security_id", "seg").orderBy("date"))
+    want = cut.withColumn("log", F.when(F.col("ok"), logs)).withColumn("level", F.exp("log"))
+    same(index, want)
