@@ -17,13 +17,15 @@ CHECKS |= {
         FROM (SELECT *, to_factor / for_factor AS stated_ratio FROM splits) s LEFT JOIN y_lag p ON p.act_symbol = s.act_symbol AND p.date = s.ex_date
         JOIN (SELECT a.act_symbol, a.ex_date, count(*) - 1 AS k FROM splits a JOIN splits b ON a.act_symbol = b.act_symbol AND a.to_factor / a.for_factor = b.to_factor / b.for_factor AND abs(a.ex_date - b.ex_date) <= 30 GROUP BY a.act_symbol, a.ex_date) n ON n.act_symbol = s.act_symbol AND n.ex_date = s.ex_date""",
     "y_numbered": "SELECT row_number() OVER (ORDER BY act_symbol, source_ex_date, to_factor, for_factor) AS source_split_row_id, * FROM y_audit",
-    "y_candidate": """SELECT * EXCLUDE (owner, good), CASE WHEN episode_mapping_method IN ('exact_episode_date', 'nearest_episode_within_7d') THEN owner END AS security_id, nearby_same_ratio_count > 0 AS nearby_same_ratio_duplicate, COALESCE(abs(implied_return) > 0.5, FALSE) AS large_implied_return,
-        CASE WHEN good THEN 'provisionally_accepted' ELSE 'requires_reconciliation' END AS validation_status, CASE WHEN good THEN source_ex_date END AS validated_ex_date, CASE WHEN good THEN stated_ratio END AS validated_ratio, CASE WHEN good THEN 'primary_split_audit' END AS validation_source
-        FROM (SELECT *, NOT suspicious_flag AND episode_mapping_method = 'exact_episode_date' AS good FROM (SELECT n.* RENAME (act_symbol AS ticker), e.ticker_episode_id AS candidate_ticker_episode_id, e.security_id AS owner,
-            CASE WHEN n.source_ex_date BETWEEN e.start_date AND e.end_date THEN 0 ELSE least(abs(n.source_ex_date - e.start_date), abs(n.source_ex_date - e.end_date)) END AS episode_distance_days,
-            CASE WHEN e.act_symbol IS NULL THEN 'unresolved_no_episode' WHEN n.source_ex_date BETWEEN e.start_date AND e.end_date THEN 'exact_episode_date' WHEN least(abs(n.source_ex_date - e.start_date), abs(n.source_ex_date - e.end_date)) <= 7 THEN 'nearest_episode_within_7d'
-                WHEN least(abs(n.source_ex_date - e.start_date), abs(n.source_ex_date - e.end_date)) <= 30 THEN 'nearest_episode_8_30d' ELSE 'unresolved_distance_gt_30d' END AS episode_mapping_method
-            FROM y_numbered n LEFT JOIN episode_spans e ON e.act_symbol = n.act_symbol) m) g""",
+    "y_away": """SELECT n.source_split_row_id, e.*, CASE WHEN n.source_ex_date BETWEEN e.start_date AND e.end_date THEN 0 ELSE list_min([abs(n.source_ex_date - e.start_date), abs(n.source_ex_date - e.end_date)]) END AS days
+        FROM y_numbered n JOIN episode_spans e USING (act_symbol)""",
+    "y_nearest": "SELECT source_split_row_id, arg_min({'e': ticker_episode_id, 's': security_id}, (days, start_date, ticker_episode_id)) AS near, min(days) AS days FROM y_away GROUP BY source_split_row_id",
+    "y_methods": """SELECT * FROM (VALUES (0, 0, 'exact_episode_date'), (1, 7, 'nearest_episode_within_7d'), (8, 30, 'nearest_episode_8_30d'), (31, 99999, 'unresolved_distance_gt_30d')) m(least, most, method)""",
+    "y_mapped": """SELECT n.*, near.e AS candidate_ticker_episode_id, days AS episode_distance_days, COALESCE(method, 'unresolved_no_episode') AS episode_mapping_method, CASE WHEN days <= 7 THEN near.s END AS security_id, days = 0 AND NOT suspicious_flag AS good
+        FROM y_numbered n LEFT JOIN y_nearest USING (source_split_row_id) LEFT JOIN y_methods ON days BETWEEN least AND most""",
+    "y_candidate": """SELECT * EXCLUDE (good) RENAME (act_symbol AS ticker), nearby_same_ratio_count > 0 AS nearby_same_ratio_duplicate, implied_return IS NOT NULL AND abs(implied_return) > 0.5 AS large_implied_return,
+        if(COALESCE(good, FALSE), 'provisionally_accepted', 'requires_reconciliation') AS validation_status, if(good, source_ex_date, NULL) AS validated_ex_date, if(good, stated_ratio, NULL) AS validated_ratio, if(good, 'primary_split_audit', NULL) AS validation_source
+        FROM y_mapped""",
     "y_pair": """SELECT c.source_split_row_id, p.observation_id AS provider_observation_id, p.split_date AS provider_split_date, p.to_factor / p.for_factor AS provider_split_ratio, p.to_factor AS provider_to_factor, p.for_factor AS provider_for_factor, abs(c.source_ex_date - p.split_date) AS date_distance_days,
         abs(c.stated_ratio - p.to_factor / p.for_factor) AS ratio_difference, abs(c.stated_ratio - p.to_factor / p.for_factor) <= 1e-6 * greatest(1.0, p.to_factor / p.for_factor) AS ratio_matches, c.source_ex_date = p.split_date AS date_matches, c.validation_status
         FROM y_candidate c JOIN vendor_splits p ON p.provider_symbol = c.ticker || '.US' AND abs(c.source_ex_date - p.split_date) <= 45""",

@@ -13,11 +13,13 @@ from marketspark.plans import prices as P
 
 CHECKS |= {
     "x_calendar": """SELECT session_date, session_minutes, session_minutes < (SELECT mode(session_minutes) FROM open_sessions) AS is_early_close, 'XTST' AS calendar_code FROM open_sessions""",
-    "x_quality": """SELECT b.date, b.act_symbol, CASE WHEN c.session_date IS NOT NULL THEN 'valid_session' WHEN p.date IS NOT NULL AND n.date IS NOT NULL THEN 'closed_session_duplicate_both'
-            WHEN p.date IS NOT NULL THEN 'closed_session_duplicate_previous' WHEN n.date IS NOT NULL THEN 'closed_session_duplicate_next' ELSE 'closed_session_anomalous' END AS quality_status, c.session_date IS NOT NULL AS is_expected_session
-        FROM raw_bars b LEFT JOIN open_sessions c ON c.session_date = b.date
-        LEFT JOIN raw_bars p ON p.act_symbol = b.act_symbol AND p.date = (SELECT max(session_date) FROM open_sessions s WHERE s.session_date < b.date) AND (p.open, p.high, p.low, p.close, p.volume) = (b.open, b.high, b.low, b.close, b.volume)
-        LEFT JOIN raw_bars n ON n.act_symbol = b.act_symbol AND n.date = (SELECT min(session_date) FROM open_sessions s WHERE s.session_date > b.date) AND (n.open, n.high, n.low, n.close, n.volume) = (b.open, b.high, b.low, b.close, b.volume)""",
+    "x_bar": "SELECT date, act_symbol, {'o': open, 'h': high, 'l': low, 'c': close, 'v': volume} AS bar FROM raw_bars",
+    "x_day": """SELECT d.date, p.session_date AS before, n.session_date AS after, d.date IN (SELECT session_date FROM open_sessions) AS is_expected_session
+        FROM (SELECT DISTINCT date FROM raw_bars) d ASOF LEFT JOIN open_sessions p ON d.date > p.session_date ASOF LEFT JOIN open_sessions n ON d.date < n.session_date""",
+    "x_copies": """SELECT b.date, b.act_symbol, d.is_expected_session, list_filter(['previous', 'next'], lambda side: CASE side WHEN 'previous' THEN p.bar = b.bar ELSE n.bar = b.bar END) AS sides
+        FROM x_bar b JOIN x_day d USING (date) LEFT JOIN x_bar p ON p.act_symbol = b.act_symbol AND p.date = d.before LEFT JOIN x_bar n ON n.act_symbol = b.act_symbol AND n.date = d.after""",
+    "x_quality": """SELECT date, act_symbol, CASE WHEN is_expected_session THEN 'valid_session' ELSE 'closed_session_' || CASE len(sides) WHEN 0 THEN 'anomalous' WHEN 1 THEN 'duplicate_' || sides[1] ELSE 'duplicate_both' END END AS quality_status, is_expected_session
+        FROM x_copies""",
     "x_clean": "SELECT b.* FROM raw_bars b JOIN open_sessions c ON c.session_date = b.date",
     "x_boundary": """SELECT DISTINCT act_symbol, effective_date FROM (SELECT from_ticker AS act_symbol, effective_date FROM evidence WHERE same_security UNION ALL SELECT to_ticker, effective_date FROM evidence WHERE same_security) b""",
     "x_assigned": """SELECT o.act_symbol, o.date, 1 + count(b.effective_date) AS n FROM x_clean o LEFT JOIN x_boundary b ON b.act_symbol = o.act_symbol AND b.effective_date <= o.date GROUP BY o.act_symbol, o.date""",

@@ -64,6 +64,32 @@ TRI   2026-05-04 cash_plus_share_consolidation pre_split 0.9845620667926906 1.43
 VISN  2026-08-17 cash_dividend pre_split 1.0 5.0 1.0 5.0 2026-08-28 -
 """
 
+# What the resolution of an event rests on; by ticker where it is not the issuer's own statement.
+ISSUER = "issuer_primary_source"
+SOURCES = {
+    "CMCT": "issuer_and_exchange_primary_source",
+    "CRESY": "issuer_and_exchange_primary_source",
+    "CTRE": "issuer_exchange_primary_source",
+    "FER": "issuer_primary_source_plus_provider_fx_conversion",
+    "NGG": "issuer_primary_source_plus_vendor_cash_amount",
+    "PHG": "issuer_primary_source_plus_vendor_cash_amount",
+    "SBS": "issuer_primary_source_plus_gross_vendor_conversion",
+    "SRV": "provider_historical_unadjusted",
+}
+
+
+def _changed(numbers: list) -> str:
+    """What the resolution changes of the stated ratio and amount."""
+    ratio, amount, accepted_ratio, accepted_amount = numbers
+    parts = []
+    if accepted_ratio is not None and accepted_ratio != ratio:
+        parts.append(f"ratio {ratio} replaced by {accepted_ratio}")
+    if accepted_amount is None:
+        parts.append(f"amount {amount} not a cash dividend")
+    elif accepted_amount != amount:
+        parts.append(f"amount {amount} replaced by {accepted_amount}")
+    return "; ".join(parts) or "stated ratio and amount confirmed"
+
 
 def override_seed(spark: SparkSession) -> DataFrame:
     """The curated events as input of ``corporate_action_overrides``."""
@@ -80,5 +106,5 @@ def override_seed(spark: SparkSession) -> DataFrame:
             continue
         ticker, event, kind, basis, *rest = line.split()
         numbers, days = [number(x) for x in rest[:4]], [day(x) for x in rest[4:]]
-        rows.append((ticker, day(event), kind, basis, *numbers, *days, "curated_review", None, "curated"))
+        rows.append((ticker, day(event), kind, basis, *numbers, *days, SOURCES.get(ticker, ISSUER), f"{ticker} {event} {kind}", _changed(numbers)))
     return spark.createDataFrame(rows, SCHEMA)

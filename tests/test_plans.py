@@ -3,6 +3,7 @@
 import random
 from datetime import date, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,29 @@ def test_guard_on_a_stream_keeps_its_baseline(spark, tmp_path):
     assert got == ["no_prior_eligible_observation", "quarantined_100x_up", "quarantined_100x_up", "accepted"]
 
 
+def test_late_filings_are_judged_in_their_place(spark, tmp_path):
+    """Filings in any order of arrival end with the verdicts of the batch form; the state keeps a bounded span."""
+    rng = random.Random(14)
+    counts = [40e6 * rng.choice([1, 1.01, 0.98, 1000, 1100]) for _ in range(30)]
+    rows = filed(counts)
+    order = list(range(len(rows)))
+    order[3], order[9], order[15], order[28] = order[28], order[15], order[9], order[3]
+    source = str(tmp_path / "in")
+    for k in range(0, 30, 6):
+        spark.createDataFrame([rows[i] for i in order[k:k + 6]], FACTS).coalesce(1).write.mode("append").parquet(source)
+        stream = guard.revised_filings_stream(spark.readStream.schema(FACTS).parquet(source), keep_days=100_000)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    judged = spark.read.parquet(str(tmp_path / "out"))
+    got = guard.latest_verdicts(judged)
+    want = guard.classify_filings(spark.createDataFrame(rows, FACTS))
+    assert judged.count() > len(rows) == got.count()
+    names = ["shares_filing_date", "guard_status", "prior_accepted_filing_date"]
+    assert sorted(map(tuple, got.select(names).collect()), key=str) == sorted(map(tuple, want.select(names).collect()), key=str)
+    frame = pd.DataFrame({"shares_filing_date": [date(2020, 1, 1), date(2021, 6, 1), date(2022, 1, 1)]})
+    assert list(guard._later_than(frame, 365)) == [False, True, True]
+
+
 def cap_inputs(spark):
     days = [date(2020, 1, 14), date(2020, 1, 15), date(2020, 2, 28), date(2021, 1, 14), date(2021, 1, 15), date(2021, 2, 27), date(2021, 3, 1)]
     px = spark.createDataFrame([(1, d, "T", 10.0, "primary", True) for d in days] + [(2, d, "U", 10.0, "primary", True) for d in days],
@@ -365,6 +389,15 @@ def test_sample_by_hash_groups_equals_plain_ranks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/5d/train").count() == 400
 
 
+def test_one_documented_change_counts_per_class_and_date(spark):
+    facts = [("1", "A", f"f{i}", date(2020, m, 1), "no_trading_symbol", None) for i, m in enumerate((1, 3, 5, 9))]
+    rows = spark.createDataFrame(facts, "cik string, class_member string, accession_number string, filing_date date, symbol_mapping_status string, trading_symbol string")
+    changes = spark.createDataFrame([("1", "A", date(2020, 2, 1), "W", "X"), ("1", "A", date(2020, 4, 1), "X", "Y"), ("1", "A", date(2020, 8, 1), "Y", "Z")],
+                                    "cik string, class_member string, change_date date, symbol_before string, symbol_after string")
+    got = sorted((r.accession_number, r.possible_symbol) for r in filings.class_symbol_evidence(rows, changes).collect())
+    assert got == [("f0", "W"), ("f1", "X"), ("f2", "Y"), ("f3", "Z")]
+
+
 def test_bad_model_rows_are_refused(spark):
     from marketspark.plans import models
 
