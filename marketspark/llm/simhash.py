@@ -396,7 +396,7 @@ def _prefixes(source: DataFrame, last: np.ndarray, min_jaccard: float, width: in
 def _missed_pairs(source: DataFrame, clusters: DataFrame, texts: int, min_jaccard: float, width: int) -> DataFrame:
     """(a, b): texts of different clusters whose prefixes meet; holds every such pair as similar as ``min_jaccard``.
 
-    The prefixes are dealt out by hash once, four longs a row. A hash that only one
+    The prefixes are made and dealt out by hash once, four longs a row. A hash that only one
     cluster holds makes no pair, so a dense group that is joined already costs nothing.
     Hashes that a sample shows to be frequent stand last in the order and so seldom in a
     prefix; what many texts still share is split into blocks.
@@ -405,12 +405,14 @@ def _missed_pairs(source: DataFrame, clusters: DataFrame, texts: int, min_jaccar
     made = _prefixes(source, _frequent(sample, width), min_jaccard, width).dropDuplicates(["key"])
     named = clusters.select(F.col("node").alias("_node"), "component")
     placed = F.shiftleft("size", 32).bitwiseOR(F.col("at").cast("long"))
+    # a text outside all clusters is its own home: a null takes no room in the shuffle
     rows = made.join(named, F.col("key") == F.col("_node"), "left").select(
-        F.xxhash64("key").alias("text"), F.xxhash64(F.coalesce("component", "key")).alias("home"), "size", F.posexplode("grams").alias("at", "gram")
+        F.xxhash64("key").alias("text"), F.when(F.col("component").isNotNull(), F.xxhash64("component")).alias("home"), "size", F.posexplode("grams").alias("at", "gram")
     ).select("gram", "text", "home", placed.alias("place")).repartition("gram")
-    shared = rows.groupBy("gram").agg(F.min("home").alias("one"), F.max("home").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other")
-    blocks = F.ceil(F.col("n") / CROWDED).alias("blocks")
-    met = stage(rows.join(shared.select(F.col("gram").alias("_gram"), blocks).hint("shuffle_hash"), F.col("gram") == F.col("_gram")).drop("_gram"))
+    one = W.partitionBy("gram")
+    homed = rows.withColumn("home", F.coalesce("home", "text"))
+    shared = homed.select("*", F.min("home").over(one).alias("_one"), F.max("home").over(one).alias("_other"), F.count(F.lit(1)).over(one).alias("n")).where("_one <> _other")
+    met = stage(shared.select("gram", "text", "home", "place", F.ceil(F.col("n") / CROWDED).alias("blocks")))
     each = met.select("gram", "blocks", "text", "home", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"))
     block = {"a": F.pmod("text", F.col("blocks")), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))}
     a, b = (each.select("gram", block[side].alias("block"), *[F.col(c).alias(f"{c}_{side}") for c in ("text", "home", "size", "at")]) for side in "ab")
