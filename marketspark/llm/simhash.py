@@ -417,10 +417,14 @@ def _missed_pairs(source: DataFrame, clusters: DataFrame, texts: int, min_jaccar
     block = {"a": F.pmod("text", F.col("blocks")), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))}
     a, b = (each.select("gram", block[side].alias("block"), *[F.col(c).alias(f"{c}_{side}") for c in ("text", "home", "size", "at")]) for side in "ab")
     larger, smaller = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
-    # the first hash that two texts share: both must hold from it on what they need to share, and what stands before it is not shared
-    rest, needed = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")), min_jaccard / (1 + min_jaccard) * (larger + smaller)
-    near = (F.col("text_a") < F.col("text_b")) & (F.col("home_a") != F.col("home_b")) & (smaller >= min_jaccard * larger - 1e-6) & (rest >= needed - 1e-6)
-    return a.join(b, ["gram", "block"]).where(near).select("text_a", "text_b").distinct()
+    near = (F.col("text_a") < F.col("text_b")) & (F.col("home_a") != F.col("home_b")) & (smaller >= min_jaccard * larger - 1e-6)
+    both = a.join(b, ["gram", "block"]).where(near).groupBy("text_a", "text_b").agg(
+        F.count(F.lit(1)).alias("shared"), *[F.min(c).alias(c) for c in ("size_a", "size_b", "at_a", "at_b")])
+    # what two texts share they share in both prefixes or behind the end of the one that ends first, and nothing before the first shared hash
+    needed = min_jaccard / (1 + min_jaccard) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    behind = F.greatest(*[F.ceil(min_jaccard * F.col(c) - 1e-9) - 1 for c in ("size_a", "size_b")])
+    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return both.where((F.col("shared") + behind >= needed) & (rest >= needed)).select("text_a", "text_b")
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, min_jaccard: float) -> DataFrame:
