@@ -14,7 +14,7 @@ from marketspark.operators import mutate
 from marketspark.operators.quality import assert_unique
 from marketspark.plans import filings, isin
 from marketspark.sources import archives, documents, payloads
-from marketspark.streaming.ingest import ingest_new_files
+from marketspark.streaming.ingest import BLOCK_BYTES, ingest_new_files, stored_files, whole_files
 
 NAMES = ["calc_date", "security_name", "shares_today"]
 
@@ -206,3 +206,17 @@ def test_ingest_is_resumable(spark, tmp_path):
     (folder / "copy.bin").write_bytes(b"one")
     ingest_new_files(*args).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_ingest_stores_files_in_blocks(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    content = {"a b%.bin": random.Random(1).randbytes(2 * BLOCK_BYTES + 5), "one.bin": b"\xff\x00"}
+    for name, data in content.items():
+        (folder / name).write_bytes(data)
+    ingest_new_files(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    blocks = spark.read.parquet(str(tmp_path / "out"))
+    assert blocks.count() == 4 and blocks.where(F.length("raw_bytes") > BLOCK_BYTES).count() == 0
+    want = {(hashlib.sha256(d).hexdigest(), len(d)) for d in content.values()}
+    assert {(r.source_sha256, r.source_bytes) for r in stored_files(blocks).collect()} == want
+    assert {bytes(r.raw_bytes) for r in whole_files(blocks).collect()} == set(content.values())
