@@ -415,3 +415,13 @@ def test_bad_model_rows_are_refused(spark):
         models.validate_model_rows(rows, ["c"])
     with pytest.raises(QualityError, match="split_label_outside"):
         models.validate_sample(rows.withColumn("target_end_date", F.lit("2021-01-02").cast("date")), ["a"], "2020-01-01", "2020-12-31")
+
+
+def test_sample_summary_reads_the_whole_pool(spark, monkeypatch):
+    from marketspark.catalog import registry, research
+
+    rows = spark.range(900).select(
+        F.col("id").alias("security_id"), F.lit("1999-01-04").cast("date").alias("date"), (F.col("id") % 3 == 0).cast("int").alias("target"))
+    monkeypatch.setattr(research, "pool", lambda v: rows)
+    found = registry.QUERIES["rs11_sample_summary"](spark, "unused").first()
+    assert (found["rows"], found["securities"]) == (900, 900) and abs(found["positive_rate"] - 1 / 3) < 1e-5
