@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketspark.operators.quality import QualityError, assert_rules, assert_unique, leakage_rules
-from marketspark.plans import actions, crosssection, filings, identity, metrics, prices, research, returns, shares
+from marketspark.plans import actions, crosssection, filings, identity, metrics, prices, reference, research, returns, shares
+from marketspark.session import stage
 from marketspark.streaming import guard
 
 D1, D2, D3, D4 = (date(2020, 6, d) for d in (15, 16, 17, 18))
@@ -425,3 +426,73 @@ def test_sample_summary_reads_the_whole_pool(spark, monkeypatch):
     monkeypatch.setattr(research, "pool", lambda v: rows)
     found = registry.QUERIES["rs11_sample_summary"](spark, "unused").first()
     assert (found["rows"], found["securities"]) == (900, 900) and abs(found["positive_rate"] - 1 / 3) < 1e-5
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_equal_sourced_counts_and_names_are_one_counted_row(spark):
+    """Equal sourced counts of a day and equal names multiply the rows of the plain table; the counted one keeps one and every figure."""
+    inputs = cap_inputs(spark)
+    inputs[1] = inputs[1].unionByName(inputs[1].withColumns({"filing_date": F.lit(date(2020, 2, 1)), "shares_outstanding": F.col("shares_outstanding") * 1000}))
+    inputs[2] = inputs[2].where("FALSE").unionByName(spark.createDataFrame(
+        [(1, "T", d, 555.0, d, date(2018, 1, 1), "filing", "D", f"X{k}", date(2019, 1, 1), date(2019, 2, 1), float(k)) for d in (date(2020, 1, 15), date(2021, 1, 14)) for k in range(5)], inputs[2].schema))
+    inputs[6] = inputs[6].unionByName(inputs[6])
+    inputs[8] = inputs[8].where("FALSE")
+    counted, plain = shares.counted_market_cap(*inputs), shares.daily_market_cap(*inputs)
+    assert counted.count() == 14 and plain.count() == 2 * (14 + 2 * 4)
+    assert rows_of(shares.repeated(counted)) == rows_of(plain)
+    results = []
+    for caps in (stage(counted), stage(plain)):
+        guard_rows = stage(shares.guard_observations(caps))
+        impact = stage(shares.guard_impact(caps, guard_rows))
+        after = stage(shares.apply_guard(caps, impact))
+        results.append([rows_of(shares.repeated(x)) for x in (
+            guard_rows, impact, after, shares.anomaly_audit(after), shares.source_counts(after), shares.jump_review(after, guard_rows, impact),
+            shares.market_cap_closure(after, inputs[6]), shares.basis_impact(after), shares.known_cases(after, caps.select("security_id", "date")))])
+    assert results[0] == results[1] and results[0][1] and results[0][5]
+
+
+def test_multi_listed_securities_without_pairs(spark):
+    rng = random.Random(5)
+    days = []
+    for security in range(60):
+        for ticker in range(rng.randint(1, 2)):
+            first = rng.randint(0, 4000)
+            days += [(security, date.fromordinal(730000 + d), f"t{security}{ticker}", True) for d in (first, first + rng.randint(0, 400))]
+    universe = spark.createDataFrame(days, "security_id long, date date, ticker string, primary_research_eligible_exchange boolean")
+    issuers = universe.select(F.col("security_id").alias("_s"), F.upper("ticker").alias("ticker")).distinct().select((F.col("_s") % 7).cast("string").alias("cik"), "ticker")
+    pairs = reference.multi_listed_pairs(universe, issuers)
+    want = {r[0] for r in pairs.select("security_id_a").union(pairs.select("security_id_b")).collect()}
+    got = [r[0] for r in reference.multi_listed_securities(universe, issuers).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < 60
+
+
+def test_reference_candidates_per_ticker(spark):
+    returns = spark.createDataFrame([(s, t, D1) for s, t in ((1, "A"), (2, "A"), (3, "B"), (None, "A"))], "security_id long, ticker string, date date")
+    references = spark.createDataFrame([("A", "ETF", "X", "I1", False), ("a", "ETF", "Y", "I2", True), ("B_OLD", "FUND", "X", "I3", True)],
+                                       "code string, instrument_type string, exchange string, isin string, is_delisted boolean")
+    manual = spark.createDataFrame([], "ticker string, instrument_type string")
+    listed = reference.symbol_fallback(spark.createDataFrame([], "act_symbol string, security_name string, listing_exchange string, is_etf int, is_test_issue int, last_seen date"))
+    one = reference.ticker_candidates(returns, references)
+    assert one.count() == 3  # each ticker once, whatever its securities
+    plain = reference.ticker_reference_resolution(returns, manual, reference.reference_candidates(returns, references), listed)
+    assert rows_of(reference.ticker_reference_resolution(returns, manual, one, listed).select(*plain.columns)) == rows_of(plain)
+
+
+def test_overlap_around_single_matches_gives_the_same_snapshots(spark):
+    day = date(2020, 2, 27)
+    ids = spark.createDataFrame([(day, f"C{k}", "candidate_exact_code_name", isin, 1.0, 1.0) for k, isin in enumerate(["I1", "I2", "I2", "I3", "I4"])],
+                                "observation_date date, security_code string, identity_status string, isin string, shares_today double, closing_shares double")
+    held = [(1, "T1", "I1"), (2, "T2", "I2"), (3, "T3", "I2"), (4, "T4", "I3"), (4, "T5", "I4")]
+    universe = spark.createDataFrame([(s, day, t, i, True) for s, t, i in held], "security_id long, date date, ticker string, isin string, primary_research_eligible_exchange boolean")
+    prices = spark.createDataFrame([(s, day, t, 5.0) for s, t, _ in held], "security_id long, date date, ticker string, close double")
+    factors = spark.createDataFrame([(s, day, 1.0, 1.0) for s in (1, 2, 3, 4)], "security_id long, date date, daily_split_ratio double, cumulative_split_multiplier double")
+    found = []
+    for single in (False, True):
+        rows = shares.priced_overlap(ids, universe, prices, around_single=single)
+        audit = rows.withColumns({"closing_share_variants": F.lit(1), "snapshot_closing_shares": F.lit(9.0)})
+        found.append((rows, rows_of(shares.preferred_snapshots({"first": audit}, factors).select("security_id", "security_code"))))
+    assert found[0][0].count() == 7 and found[1][0].count() == 3
+    assert found[0][1] == found[1][1] == [(1, "C0")]
