@@ -112,6 +112,22 @@ def test_csv_records_equal_pythons(spark, tmp_path, monkeypatch):
         assert rows == python_rows(text.removeprefix("\ufeff")), text
 
 
+def test_csv_lines_in_any_layout_give_the_same_records(spark):
+    """Lines dealt over tasks out of order are runs of one line each."""
+    text = 'h\na,"open\n\nstill, open\nend",b\nplain,1\n\n"x"\n' * 7
+    lines = archives.stored_lines(table(spark, text.encode())).repartition(5, "seq").sortWithinPartitions(F.desc("seq")).localCheckpoint()
+    assert [r.fields for r in archives.csv_records(lines).orderBy("record").collect()] == python_rows(text)
+
+
+def test_whole_csv_records_are_split_where_they_lie(spark):
+    """No line of a plain file meets a shuffle or is sorted: a run is split in its task."""
+    text = "".join(f"{i},2020-01-31,US0378331005,Apple, Inc,{i}\n" for i in range(100))
+    records = archives.csv_records(archives.stored_lines(table(spark, text.encode())))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    assert [r.fields for r in records.orderBy("record").collect()] == python_rows(text)
+
+
 def test_a_large_csv_is_read_by_several_tasks(spark, tmp_path):
     rng = random.Random(1)
     text = ",Date,ISIN,CompanyName,MktCap\n" + "".join(
