@@ -9,10 +9,13 @@ from marketspark.functions.scalars import alphanumeric
 from marketspark.functions.text import name_similarity
 from marketspark.operators.aggregates import distinct_list
 from marketspark.operators.joins import count_over
+from marketspark.session import stage
 
 
 def _valid(observations: DataFrame) -> DataFrame:
-    return observations.where("parse_status = 'valid_isin'").withColumn("name", F.trim("raw_company_name"))
+    """The rows with a valid ISIN, written once, as they are read several times and the list is parsed by each reader."""
+    rows = observations.where("parse_status = 'valid_isin'")
+    return stage(rows.select("observation_date", "isin", "source_row_number", F.trim("raw_company_name").alias("name"), "mktcap_as_supplied"))
 
 
 def duplicate_listings(observations: DataFrame) -> DataFrame:
@@ -43,8 +46,8 @@ def isin_profile(observations: DataFrame) -> DataFrame:
 
 def isin_name_comparison(observations: DataFrame, references: DataFrame) -> DataFrame:
     """Do the list and the reference agree on a name for an ISIN? (text is evidence, not an identity)"""
-    own = _valid(observations).select("isin", "name").distinct()
-    known = references.where("isin IS NOT NULL AND trim(isin) <> ''").select(F.upper(F.trim("isin")).alias("isin"), F.col("name").alias("other")).distinct()
+    own = stage(observations.where("parse_status = 'valid_isin'").select("isin", F.trim("raw_company_name").alias("name")).distinct())
+    known = stage(references.where("isin IS NOT NULL AND trim(isin) <> ''").select(F.upper(F.trim("isin")).alias("isin"), F.col("name").alias("other")).distinct())
     equal = own.withColumn("_n", alphanumeric("name")).join(
         known.withColumn("_n", alphanumeric("other")), ["isin", "_n"], "left_semi").select("isin", F.lit(True).alias("_equal")).distinct()
     scores = name_similarity(own, known, "isin", "name", "other")

@@ -90,6 +90,16 @@ def test_ragged_csv_and_profile(spark):
     assert isin.isin_name_comparison(rows, names).first().name_status == "exact_normalized_alias"
 
 
+def test_a_profile_parses_its_list_once(spark):
+    """Valid rows, and names of both lists, are written once; spans, names and conflicts read these."""
+    text = ",Date,ISIN,CompanyName,MktCap\n1,2020-01-31,US0378331005,Apple, Inc,5\n2,2020-01-31,US0378331005,Apple Inc,6\n"
+    rows = archives.parse_ragged_csv(table(spark, text.encode()))
+    names = rows.select("isin", F.col("raw_company_name").alias("name"))
+    for result, status in ((isin.isin_profile(rows), "rows"), (isin.isin_name_comparison(rows, names), "name_status")):
+        assert "MapInArrow" not in result._jdf.queryExecution().executedPlan().toString()
+        assert result.first()[status] in (2, "exact_normalized_alias")
+
+
 def python_rows(text):
     import csv
     import io
